@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Every Unicode white space character, spelled so that Java and RE2 agree on it.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+NON_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 # Latin letters with diacritics and the base letter each folds to.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -80,7 +81,9 @@ def token_set(value: Column | str) -> Column:
 def capitalize(value: Column | str) -> Column:
     """First character upper, the rest lower."""
     c = as_column(value)
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 1_000_000)))
+    first = F.left(c, F.lit(1))
+    head = F.when(first == "ß", F.lit("Ss")).otherwise(F.upper(first))
+    return F.concat(head, F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def title_case(value: Column | str) -> Column:
@@ -102,7 +105,7 @@ def richness(value: Column | str) -> Column:
     headings = F.regexp_count(
         F.lower(c), F.lit(r"\b(experience|education|skills|profil|formation|competences|projects)\b")
     )
-    lines = F.size(F.filter(F.split(c, "\n"), lambda line: F.trim(line) != ""))
+    lines = F.size(F.filter(F.split(c, "\n"), lambda line: line.rlike(NON_SPACE)))
     return letters + emails * 200 + phones * 120 + headings * 80 + lines * 3
 
 
