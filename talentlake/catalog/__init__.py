@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-FAMILIES = ("text", "skills")
+FAMILIES = ("text", "skills", "match")
 
 
 def load() -> dict[str, Query]:

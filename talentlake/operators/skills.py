@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.jsonlist import json_list
 from ..functions.skillnames import classify_skill, normalize_skill_name
-from ..functions.text import contains_any, title_case
+from ..functions.text import contains_any, round_dp, title_case
 
 WORD = r"[\p{L}\p{N}_]+"
 _EDGE_LEFT, _EDGE_RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
@@ -160,7 +160,7 @@ def skill_stats(df: DataFrame, key: str = "doc_id") -> DataFrame:
     totals = by_source.groupBy(key).agg(
         F.sum("n").alias("total"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("by_source"),
-        F.round(F.sum("c") / F.sum("n"), 3).alias("avg_confidence"),
+        round_dp(F.sum("c") / F.sum("n"), 3).alias("avg_confidence"),
     )
     top = Window.partitionBy(key).orderBy(F.desc("confidence"), F.asc("name"))
     best = (df.withColumn("_pos", F.row_number().over(top)).filter(F.col("_pos") <= 3).groupBy(key)
@@ -213,3 +213,13 @@ def link_candidate_skills(found: DataFrame, skills: DataFrame) -> DataFrame:
     ).distinct()
 
 
+
+
+def canonicalise_by_embedding(found: DataFrame, nearest: DataFrame, key: str) -> DataFrame:
+    """Skill variants renamed to their canonical skill where one is near enough, then one row per (key, name).
+
+    ``nearest`` holds (query_id, canonical, similarity) from ``joins.nearest_join``.
+    """
+    mapped = found.join(nearest.select("query_id", "canonical", "similarity"), "query_id", "left").withColumn(
+        "name", F.coalesce("canonical", "name"))
+    return mapped.groupBy(key, "name").agg(F.max("similarity").alias("similarity"))
