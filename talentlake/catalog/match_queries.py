@@ -421,8 +421,8 @@ def _word_hits(words) -> str:
 
 
 def _ladder(words: dict[str, str], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains(low, '{w}') THEN '{v}'".replace("r's", "r''s").replace("'s d", "''s d").replace("''''", "''")
-                              for w, v in words.items()) + f" ELSE '{default}' END"
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    return "CASE " + " ".join(f"WHEN contains(low, '{w}') THEN {quote(v)}" for w, v in words.items()) + f" ELSE {quote(default)} END"
 
 
 IDEAL = {**JOB_VIEWS, "job_texts": f"""
@@ -434,7 +434,7 @@ IDEAL = {**JOB_VIEWS, "job_texts": f"""
         CASE WHEN regexp_matches(low, 'senior|expert|advanced|lead') THEN 'Advanced' WHEN regexp_matches(low, 'junior|entry|beginner') THEN 'Beginner' ELSE 'Intermediate' END AS level,
         coalesce(TRY_CAST(regexp_extract(low, '([0-9]{{1,2}})\\s*\\+?\\s*(?:years|yrs|ans)', 1) AS INTEGER),
             CASE WHEN regexp_matches(low, 'senior|lead') THEN 5 WHEN regexp_matches(low, 'mid-level|mid level') THEN 3 WHEN contains(low, 'junior') THEN 1 ELSE 2 END) AS years,
-        {_ladder(mt.IDEAL_EDUCATION, "Bachelor''s degree or equivalent")} AS education,
+        {_ladder(mt.IDEAL_EDUCATION, "Bachelor's degree or equivalent")} AS education,
         array_to_string(list_transform({_word_hits(mt.IDEAL_LANGUAGES)}, lambda w: upper(w[1]) || w[2:]), ', ') AS languages,
         array_to_string(list_transform(list_filter({sql_list(mt.IDEAL_INDUSTRIES)}, lambda w: contains(low, w)), lambda w: {sql_map(mt.IDEAL_INDUSTRIES)}[w]), ', ') AS industries
         FROM {{job_texts}})""".replace("{{1,2}}", "{1,2}"), "ideal_rows": f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,12 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once; an expression used inside a lambda would otherwise be
+    computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(value: Column | str) -> Column:
     """Collapse all white space to single spaces, trim; null becomes the empty string."""
     return F.trim(F.regexp_replace(F.coalesce(as_column(value), F.lit("")), SPACE + "+", " "))
@@ -121,7 +127,8 @@ def rx_escape(text: str) -> str:
 
 def ordered_distinct(items: Column, key=F.lower) -> Column:
     """Drop later items whose key equals an earlier one; keeps order and the first spelling."""
-    return F.filter(items, lambda x, i: F.array_position(F.transform(items, key), key(x)) == i + 1)
+    return let(items, lambda a: let(F.transform(a, key), lambda keys: F.filter(
+        a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def round_dp(value: Column, digits: int) -> Column:

@@ -25,10 +25,10 @@ def exact_row_number(
     offsets = counts.select(*group, *cells, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*group, *cells).orderBy(*order)
     return (
-        df.withColumn("_pos", F.row_number().over(inside))
+        df.withColumn("_within", F.row_number().over(inside))
         .join(offsets, [*group, *cells])
-        .withColumn(name, F.col("_offset") + F.col("_pos"))
-        .drop("_offset", "_pos")
+        .withColumn(name, F.col("_offset") + F.col("_within"))
+        .drop("_offset", "_within")
     )
 
 
