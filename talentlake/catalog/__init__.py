@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-FAMILIES = ("text", "skills", "match", "features", "evaluation", "report")
+FAMILIES = ("text", "skills", "match", "features", "evaluation", "report", "extract", "quality", "job")
 
 
 def load() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from .contact import PERIOD
-from .text import SPACE, contains_any, fold
+from .text import SPACE, contains_any, fold, let
 
 # Patterns of the line rules.
 YEAR = r"\b(19|20)\d{2}\b"
@@ -70,8 +70,8 @@ def company_from_line(line: Column) -> Column:
     head = F.trim(F.regexp_replace(head, r"\s*\(\s*\d{4}.*$", ""))
     head = F.trim(F.regexp_replace(head, TRAILING_PLACE, ""))
     name = F.regexp_replace(F.trim(F.substring_index(head, ",", 1)), r"^[•*\-\s]+|[•*\-\s]+$", "")
-    refused = contains_any(fold(name), ["linkedin", "github"] + vocab.NOT_COMPANY_WORDS + vocab.SCHOOL_WORDS)
-    return F.when((F.length(name) < 2) | refused, "").otherwise(name)
+    refused = ["linkedin", "github"] + vocab.NOT_COMPANY_WORDS + vocab.SCHOOL_WORDS
+    return let(name, lambda n: F.when((F.length(n) < 2) | contains_any(fold(n), refused), "").otherwise(n))
 
 
 def is_anchor(line: Column, norm: Column) -> Column:

@@ -255,18 +255,25 @@ _EXPERIENCE = "struct<title:string,company:string,period:string,responsibilities
 
 def _parse_anchor(line: Column, norm: Column, before: Column, after: Column) -> Column:
     """Title, company and period of an anchor line and its neighbours; null when neither title nor company is found."""
-    period = contact.period(line)
+    def result(f: Column) -> Column:
+        usable = ((f["title"] != "") | (f["company"] != "")) & ~ln.has_education_word(fold(f["company"]))
+        return F.when(usable, F.struct(f["title"].alias("title"), f["company"].alias("company"), F.nullif(contact.period(line), F.lit("")).alias("period"),
+                                       F.array().cast(_NO_STRINGS).alias("responsibilities")).cast(_EXPERIENCE))
+
+    def choose(judged: Column) -> Column:
+        title = F.get(F.filter(judged, lambda s: s["title"]), F.lit(0))["text"]
+        part = F.get(F.filter(judged, lambda s: s["company"] & ~s["title"]), F.lit(0))["text"]
+        own = F.coalesce(F.nullif(ln.company_from_line(part), F.lit("")), part, ln.company_from_line(line))
+        full_title = F.coalesce(title, F.when(before["title"] & (before["line"] != ""), before["line"]),
+                                F.when(after["title"] & (after["line"] != ""), after["line"]), F.lit(""))
+        company = F.coalesce(F.nullif(own, F.lit("")), F.when(after["company"], ln.company_from_line(after["line"])), F.lit(""))
+        return let(F.struct(full_title.alias("title"), company.alias("company")), result)
+
     core = F.coalesce(F.nullif(contact.strip_period(line), F.lit("")), line)
     segments = F.transform(F.filter(F.split(core, ln.SEGMENT), lambda s: F.trim(s) != ""), lambda s: F.btrim(s, F.lit(" |-–—,;")))
-    title = F.get(F.filter(segments, lambda s: ln.is_title_line(s, fold(s))), F.lit(0))
-    part = F.get(F.filter(segments, lambda s: ln.is_company_line(s, fold(s)) & (~F.coalesce(s == title, F.lit(False)))), F.lit(0))
-    own = F.coalesce(F.nullif(ln.company_from_line(part), F.lit("")), part, ln.company_from_line(line))
-    full_title = F.coalesce(title, F.when(before["title"] & (before["line"] != ""), before["line"]),
-                            F.when(after["title"] & (after["line"] != ""), after["line"]), F.lit(""))
-    company = F.coalesce(F.nullif(own, F.lit("")), F.when(after["company"], ln.company_from_line(after["line"])), F.lit(""))
-    usable = ((full_title != "") | (company != "")) & ~ln.has_education_word(fold(company))
-    return F.when(usable, F.struct(full_title.alias("title"), company.alias("company"), F.nullif(period, F.lit("")).alias("period"),
-                                   F.array().cast(_NO_STRINGS).alias("responsibilities")).cast(_EXPERIENCE))
+    judged = F.transform(segments, lambda s: F.struct(
+        s.alias("text"), ln.is_title_line(s, fold(s)).alias("title"), ln.is_company_line(s, fold(s)).alias("company")))
+    return let(judged, choose)
 
 
 def experiences(array: Column, limit: int = 12) -> Column:

@@ -25,7 +25,7 @@ def clean_phones(items: Column | str) -> Column:
     def digits(p: Column) -> Column:
         return F.regexp_replace(p, r"\D", "")
 
-    trimmed = F.transform(_list(items), F.trim)
+    trimmed = F.transform(_list(items), lambda s: F.trim(s))
     valid = F.filter(trimmed, lambda p: F.length(digits(p)).between(10, 15))
     return F.slice(ordered_distinct(valid, digits), 1, 3)
 
@@ -227,6 +227,19 @@ def dedupe_candidates(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return marked.join(first.select(F.col(f"_first.{key}").alias(key)), key, "left_semi")
 
 
+def merge_near_duplicates(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One record per group of equal fingerprints: the one with most filled fields, the smallest key on a tie.
+
+    Records count as duplicates when their fingerprints are equal; ``copies`` tells how many there were. The winner is
+    a pre-aggregated maximum over keys, so a fingerprint with many copies is no hot task.
+    """
+    filled = sum((F.coalesce(F.length(F.trim(F.col(c).cast("string"))) > 0, F.lit(False)).cast("int") for c in fields), F.lit(0))
+    marked = fingerprint(df).withColumn("completeness", filled)
+    best = marked.groupBy("fingerprint").agg(
+        F.min(F.struct((-F.col("completeness")).alias("down"), F.col(key))).alias("_best"), F.count(F.lit(1)).alias("copies"))
+    return marked.join(best.select(F.col(f"_best.{key}").alias(key), "copies"), key)
+
+
 def dedupe_pairs(df: DataFrame, key: str = "pair_id") -> DataFrame:
     """One row per (cv_text, job_text, label), the one of smallest key; texts are compared by digest."""
     digest = F.md5(F.to_json(F.struct("cv_text", "job_text", "label")))
@@ -281,7 +294,7 @@ def coverage_summary(report: DataFrame) -> DataFrame:
 def diagnose_missing(df: DataFrame, key: str = "cv_id", text: str = "text") -> DataFrame:
     """(key, field, reason) for every missing field of a profile; needs the profile columns and the text."""
     low = F.lower(F.col(text))
-    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""), 1, 5)
+    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != ""), 1, 5)
     name_line = F.exists(lines, lambda s: F.regexp_count(s, F.lit(r"[A-Za-zÀ-ÿ'\-]+")).between(2, 4) & ~s.rlike(r"[@\d]"))
     has = lambda c: _has(c, df)
     none = F.lit(None).cast("string")

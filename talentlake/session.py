@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +32,24 @@ def local_session(cores: str = "8", name: str = "talentlake", **conf: str) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names; survives the loss of executors.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder all executors share: the one the cluster names, or (local sessions only) a temporary one."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-talentlake-", dir="/tmp")
+    return folder.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    A folder of our own is set only when the session names none, which is the case in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="talentlake-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
