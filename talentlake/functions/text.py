@@ -60,16 +60,16 @@ def strip_space(value: Column | str) -> Column:
 
 def clean_text(value: Column | str) -> Column:
     """Collapse space, then drop links, addresses, ten-digit phones and special characters, in this order."""
-    steps = (
-        r"http[^\s\x0B\x1C-\x1F\x85\p{Z}]+|www[^\s\x0B\x1C-\x1F\x85\p{Z}]+",
-        r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+",
-        r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
-        r"[^a-zA-Z0-9\s\-]",
-    )
-    out = normalize_text(value)
-    for pattern in steps:
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    def drop(c: Column, pattern: str, probe: Column | None = None) -> Column:
+        """The probe is a cheap test that spares most texts the pattern."""
+        cleaned = F.regexp_replace(c, pattern, "")
+        return cleaned if probe is None else F.when(probe, cleaned).otherwise(c)
+
+    raw = as_column(value)
+    out = drop(normalize_text(value), rf"http{NON_SPACE}+|www{NON_SPACE}+", raw.contains("http") | raw.contains("www"))
+    out = drop(out, r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+", raw.contains("@"))
+    out = drop(out, r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b", raw.rlike("[0-9]{3}"))
+    return drop(out, r"[^a-zA-Z0-9\s\-]")
 
 
 def fold(value: Column | str) -> Column:
@@ -106,7 +106,7 @@ def richness(value: Column | str) -> Column:
     """How much usable content a text holds: letters, contact data, section words and non-blank lines."""
     c = F.coalesce(as_column(value), F.lit(""))
     letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    emails = F.regexp_count(c, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
+    emails = F.when(c.contains("@"), F.regexp_count(c, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))).otherwise(0)
     phones = F.regexp_count(c, F.lit(r"\+?\d[\d\s().-]{7,}\d"))
     headings = F.regexp_count(
         F.lower(c), F.lit(r"\b(experience|education|skills|profil|formation|competences|projects)\b")

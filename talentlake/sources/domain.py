@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.skew import plan_bytes
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -155,14 +157,38 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(_REFERENCE.findall(sql)))
 
 
+# Tables whose queries are bound by the work per row (long texts) and not by the bytes read.
+TEXT_TABLES = {"documents": ["documents"], "cv_texts": ["customer", "orders"]}
+
+
+def spread(df: DataFrame, source_bytes: int) -> DataFrame:
+    """Spread a small text table over all cores.
+
+    A table of many files is already split; a few small files would leave most cores idle. Nothing is shuffled once the
+    sources hold more than one full split per core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("bB"))
+    return df.repartition(cores) if source_bytes < cores * split else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view by name; only the columns a query uses are read."""
+    def base(n: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
+
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    sql = _SPARK_VIEWS.get(name, VIEWS[name])
-    inputs = {ref: table(spark, sf_dir, ref) for ref in references(sql)}
-    return spark.sql(sql.replace('{"', '{{"').replace('"}', '"}}').replace('[]}', '[]}}')
-                     if name == "candidates" else sql, **inputs)
+        df = base(name)
+    else:
+        sql = _SPARK_VIEWS.get(name, VIEWS[name])
+        inputs = {ref: table(spark, sf_dir, ref) for ref in references(sql)}
+        if name == "candidates":  # braces of its JSON literals are no references
+            sql = sql.replace('{"', '{{"').replace('"}', '"}}').replace("[]}", "[]}}")
+        df = spark.sql(sql, **inputs)
+    if name in TEXT_TABLES:
+        df = spread(df, sum(plan_bytes(base(n)) for n in TEXT_TABLES[name]))
+    return df
 
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
