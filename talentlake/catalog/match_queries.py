@@ -33,11 +33,19 @@ SCORED = {**SKILL_SETS, "universe": f"SELECT DISTINCT {skill_name('name')} AS sk
            e.created_at DESC, s.candidate_id) AS rank FROM {scored} s JOIN {eligible} e USING (candidate_id)"""}
 
 
-def scored_pairs(t):
-    held = sk.candidate_skill_set(t.candidates, t.candidate_skills)
+def scored_pairs(t, held=None):
+    """All overlapping pairs of the skill sets ``held`` (default: those of every candidate)."""
+    held = sk.candidate_skill_set(t.candidates, t.candidate_skills) if held is None else held
     return mt.weighted_cosine(held, t.criteria_skills, sk.skill_universe(t.skills, sk.dictionary(t.spark)))
 
 
+def eligible_skills(t):
+    """Skill sets of the candidates that take part in matching; filtering here spares all later work on the others."""
+    eligible = ql.matchable(t.candidates)
+    links = t.candidate_skills.join(eligible.select("candidate_id"), "candidate_id", "left_semi")
+    return sk.candidate_skill_set(eligible, links)
+
+
 @query("j01_pairs", """
     SELECT DISTINCT candidate_id, criteria_id FROM {candidate_skills} JOIN {criteria_skills} USING (skill)""")
 def _(t):
@@ -400,8 +408,8 @@ def _(t):
 
 @query("m16_rank_all", "SELECT criteria_id, candidate_id, score_pct, coverage_pct, rank FROM {ranked}", SCORED)
 def _(t):
-    return mt.rank_all(scored_pairs(t), ql.matchable(t.candidates)).select(
-        "criteria_id", "candidate_id", "score_pct", "coverage_pct", "rank")
+    scored = scored_pairs(t, eligible_skills(t)).drop("matched_skills")
+    return mt.rank_all(scored, t.candidates).select("criteria_id", "candidate_id", "score_pct", "coverage_pct", "rank")
 
 
 @query("m16_rank_top_10", """
@@ -411,7 +419,7 @@ def _(t):
 def flagship(t):
     from ..operators.decisions import decide
 
-    top = mt.rank_top(scored_pairs(t), ql.matchable(t.candidates), 10)
+    top = mt.rank_top(scored_pairs(t, eligible_skills(t)), t.candidates, 10)
     return top.select("criteria_id", "candidate_id", "full_name", "score_pct", "coverage_pct",
                       F.array_join("matched_skills", ", ").alias("matched"), "rank", decide(F.col("score_pct") / 100).alias("decision"))
 

@@ -17,7 +17,7 @@ INLINE_NAMES = 1000
 
 def skill_overlap(candidate_skills: DataFrame, criteria_skills: DataFrame) -> DataFrame:
     """One row per (candidate, criteria, shared skill): many-to-many equi join that splits hot skills."""
-    return salted_join(candidate_skills, criteria_skills, ["skill"], F.col("candidate_id"))
+    return salted_join(candidate_skills, criteria_skills, ["skill"], F.col("candidate_id"), narrow=True)
 
 
 def pairs(candidate_skills: DataFrame, criteria_skills: DataFrame) -> DataFrame:

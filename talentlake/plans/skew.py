@@ -23,6 +23,15 @@ def maybe_broadcast(df: DataFrame, limit: int = DEFAULT_BROADCAST_BYTES) -> Data
     return F.broadcast(df) if small(df, limit) else df
 
 
+# Rows of a few short columns that certainly fit a broadcast (about 100 bytes each).
+NARROW_ROWS = 200_000
+
+
+def few_rows(df: DataFrame, limit: int = NARROW_ROWS) -> bool:
+    """Exact check for narrow tables whose estimate is inflated by the joins below them."""
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
 def salted_join(
     big: DataFrame,
     side: DataFrame,
@@ -31,13 +40,15 @@ def salted_join(
     how: str = "inner",
     salts: int = 32,
     limit: int = DEFAULT_BROADCAST_BYTES,
+    narrow: bool = False,
 ) -> DataFrame:
     """Equi join of a fact with a smaller side whose keys may be hot.
 
-    Within the size limit the side is broadcast, which has no skew. Beyond it every key is split over ``salts``
+    Within the size limit the side is broadcast, which has no skew; with ``narrow`` its rows are counted when the
+    estimate exceeds the limit. Beyond it every key is split over ``salts``
     tasks: fact rows take a salt from ``spread`` and the side is repeated once per salt.
     """
-    if small(side, limit):
+    if small(side, limit) or (narrow and few_rows(side)):
         return big.join(F.broadcast(side), keys, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

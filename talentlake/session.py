@@ -19,6 +19,8 @@ def local_session(cores: str = "8", name: str = "talentlake", **conf: str) -> Sp
         .config("spark.sql.shuffle.partitions", conf.pop("partitions", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # One shuffle partition per core: merging them by size would idle cores in joins that expand small inputs.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
