@@ -97,10 +97,12 @@ def contains_join(docs: DataFrame, names: DataFrame, text: str, name: str) -> Da
         hits = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(lowered, F.lower(w)))
         return docs.withColumn(name, F.explode(hits))
     keyed = names.select(name).distinct().withColumn("_key", F.lower(F.left(F.col(name), F.lit(3))))
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(lowered), F.lit(1))), lambda i, n=n: F.substring(lowered, i, F.lit(n)))
-        for n in (1, 2, 3)
-    ]
+    starts = F.sequence(F.lit(1), F.greatest(F.length(lowered), F.lit(1)))
+
+    def runs_of(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(lowered, i, F.lit(n)))
+
+    runs = [runs_of(n) for n in (1, 2, 3)]
     blocks = docs.withColumn("_key", F.explode(F.array_distinct(F.concat(*runs))))
     return blocks.join(keyed, "_key").filter(F.contains(lowered, F.lower(F.col(name)))).drop("_key")
 
