@@ -185,7 +185,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         inputs = {ref: table(spark, sf_dir, ref) for ref in references(sql)}
         if name == "candidates":  # braces of its JSON literals are no references
             sql = sql.replace('{"', '{{"').replace('"}', '"}}').replace("[]}", "[]}}")
-        df = spark.sql(sql, **inputs)
+        # Zone-free timestamps, as in the base tables.
+        df = spark.sql(sql.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"), **inputs)
     if name in TEXT_TABLES:
         df = spread(df, sum(plan_bytes(base(n)) for n in TEXT_TABLES[name]))
     return df

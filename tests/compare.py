@@ -49,7 +49,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return ("nan",)
-        value = round(value, 9) + 0.0
+        value = value + 0.0
     if hasattr(value, "tzinfo") and value.tzinfo is not None:
         value = value.replace(tzinfo=None)
     return (value is not None, value)
