@@ -322,7 +322,7 @@ TAGGED = {"tagged": """
            0.70 + l_discount * 2 AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1"""}
 
 
-@query("e24_merge_bio", r"""
+TAGGED["bio"] = r"""
     SELECT * FROM (WITH RECURSIVE kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM {tagged} WHERE score >= 0.75),
     walk AS (
         SELECT doc_id, 0::BIGINT AS i, NULL::VARCHAR AS open_type, 0 AS entity, ''::VARCHAR AS piece, NULL::VARCHAR AS entity_type, NULL::DOUBLE AS score, NULL::BIGINT AS pos FROM (SELECT DISTINCT doc_id FROM kept)
@@ -333,7 +333,10 @@ TAGGED = {"tagged": """
                CASE WHEN k.tag LIKE 'B-%' OR (k.tag LIKE 'I-%' AND w.open_type IS NOT NULL) THEN k.tag[3:] END, k.score, k.pos
         FROM walk w JOIN kept k ON k.doc_id = w.doc_id AND k.i = w.i + 1)
     SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, entity_type, string_agg(piece, '' ORDER BY i) AS text, round(min(score), 4) AS confidence
-    FROM walk WHERE entity_type IS NOT NULL GROUP BY doc_id, entity, entity_type)""", TAGGED)
+    FROM walk WHERE entity_type IS NOT NULL GROUP BY doc_id, entity, entity_type)"""
+
+
+@query("e24_merge_bio", "SELECT * FROM {bio}", TAGGED)
 def _(t):
     return bio_entities(t).withColumn("confidence", F.round("confidence", 4))
 
@@ -362,9 +365,11 @@ def _(t):
     return rows.select("doc_id", joined("persons"), joined("locations"), joined("job_titles"), "total_entities")
 
 
-@query("e25_best_entities")
+@query("e25_best_entities", """
+    SELECT doc_id, entity_type, text, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY confidence DESC, pos) AS rn FROM {bio})
+    WHERE rn = 1""", TAGGED)
 def _(t):
-    return ex.best_entities(bio_entities(t))
+    return ex.best_entities(bio_entities(t).withColumn("confidence", F.round("confidence", 4)))
 
 
 def profiles(t):

@@ -516,7 +516,19 @@ def _(t):
                                              F.col("ideal_education").alias("education"))
 
 
-@query("m22_generate_and_match")
+@query("m22_generate_and_match", f"""
+    SELECT criteria_id, candidate_id, score_pct, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, created_at DESC, candidate_id) AS rank FROM (
+            SELECT h.criteria_id, e.candidate_id, e.created_at, {rnd('h.dot / (sqrt(u.n) * sqrt(t.square)) * 100', 6)} AS score_pct
+            FROM (SELECT candidate_id, criteria_id, sum(w)::DOUBLE AS dot FROM {{candidate_skills}} s JOIN {{wanted}} k ON lower(k.name) = lower(s.skill) GROUP BY ALL) h
+            JOIN (SELECT criteria_id, sum(w * w)::DOUBLE AS square FROM {{wanted}} GROUP BY 1) t USING (criteria_id)
+            JOIN (SELECT candidate_id, count(*) AS n FROM {{candidate_skills}} GROUP BY 1) u USING (candidate_id) JOIN {{eligible}} e USING (candidate_id)))
+    WHERE rank <= 20""", {**SCORED, **JOB_VIEWS, "wanted": f"""
+    SELECT criteria_id, name, w FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY w DESC, name) AS rn FROM (
+        SELECT criteria_id, name, max(w) AS w FROM (
+            SELECT criteria_id, coalesce({sql_map(mt.WEIGHTED_NAMES)}[lower(s)], s) AS name, 30 AS w FROM (SELECT criteria_id, unnest(skills) AS s FROM {{job_rows}})
+            UNION ALL SELECT criteria_id, {sql_map(mt.WEIGHTED_NAMES)}[k], w FROM {{job_rows}}, (VALUES {", ".join(f"('{k}', {w})" for k, w in mt.WEIGHTED_KEYWORDS.items())}) v(k, w)
+                WHERE contains(lower(title || ' ' || coalesce(description, '') || ' ' || array_to_string(skills, ' ')), k)) GROUP BY ALL)) WHERE rn <= 10"""})
 def _(t):
     jobs = mt.ideal_profiles_weighted(job_rows(t)).withColumn("job_id", F.col("criteria_id"))
     return mt.generate_and_match(jobs, ql.matchable(t.candidates), t.candidate_skills, 20).select(
