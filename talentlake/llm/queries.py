@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import language_id, packing, quality_rules, sentencepiece_chunks
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,29 @@ def op9(spark, folder):
         "doc_id", s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"),
         s["n_dup_lines"].alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
         F.col("quality_base_failed").alias("base_failed"), F.col("quality_kept").alias("kept"), F.col("quality_rule").alias("rejecting_rule"))
+
+
+@register("op4_language_id")
+def op4(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@register("op6_sentencepiece")
+def op6(spark, folder):
+    encoded = sentencepiece_chunks.encode(read_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def packed_pieces(docs):
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op2_packing")
+def op2(spark, folder):
+    return packed_pieces(read_table(spark, folder, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
