@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_rules, sentencepiece_chunks
+from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def packed_pieces(docs):
 def op2(spark, folder):
     return packed_pieces(read_table(spark, folder, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op5_fingerprints")
+def op5(spark, folder):
+    return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
