@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks
+from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op2(spark, folder):
 @register("op5_fingerprints")
 def op5(spark, folder):
     return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
+
+
+@register("op7_simhash")
+def op7(spark, folder):
+    grouped = simhash.near_duplicates(read_table(spark, folder, "documents"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
