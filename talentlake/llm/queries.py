@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash
+from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash, warc
+from ..session import scratch_dir
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,14 @@ def op5(spark, folder):
 def op7(spark, folder):
     grouped = simhash.near_duplicates(read_table(spark, folder, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op10_warc", """
+    WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         f AS (SELECT payload_digest, min(page_id) AS target FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN target <> page_id THEN target END AS refers_to
+    FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100""")
+def op10(spark, folder):
+    manifest = warc.write(read_table(spark, folder, "pages"), scratch_dir(spark, "warc"))
+    return warc.read(manifest, payload=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
