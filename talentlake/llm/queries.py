@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash, warc
+from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash, substring_dedup, suffix_dedup, warc
 from ..session import scratch_dir
 from .common import read_table
 
@@ -82,3 +82,13 @@ def op7(spark, folder):
 def op10(spark, folder):
     manifest = warc.write(read_table(spark, folder, "pages"), scratch_dir(spark, "warc"))
     return warc.read(manifest, payload=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@register("op1_suffix_dedup")
+def op1(spark, folder):
+    return suffix_dedup.remove_repeats(read_table(spark, folder, "documents"), text=False)
+
+
+@register("op8_substring_dedup")
+def op8(spark, folder):
+    return substring_dedup.remove_repeats(read_table(spark, folder, "documents"), text=False)
