@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, quality_rules, sentencepiece_chunks, simhash, substring_dedup, suffix_dedup, warc
+from . import fingerprints, html_extract, language_id, packing, quality_rules, sentencepiece_chunks, simhash, substring_dedup, suffix_dedup, warc
 from ..session import scratch_dir
 from .common import read_table
 
@@ -92,3 +92,8 @@ def op1(spark, folder):
 @register("op8_substring_dedup")
 def op8(spark, folder):
     return substring_dedup.remove_repeats(read_table(spark, folder, "documents"), text=False)
+
+
+@register("op3_html_extract")
+def op3(spark, folder):
+    return html_extract.extract(read_table(spark, folder, "pages"))
