@@ -47,14 +47,15 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (64 bits as a signed long) of every row."""
+    """doc_id, fingerprint (64 bits as a signed long) and a hash of the whole text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             found = np.array([simhash(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, text_hash long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -207,11 +208,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, fp, text_hash, component (its smallest fingerprint) and component_id (its smallest doc_id) of every row."""
     prints = stored(fingerprints(docs), "simhash")
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(values.select("fp"), limit), "simhash-links")
     rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "text_hash", "component", "component_id")
+
+
+def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that with the smallest doc_id (null last, ties by a hash of
+    the text)."""
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    kept = near_duplicates(docs, limit).groupBy("component").agg(F.min(rank).alias("r")).select(
+        F.xxhash64("r.doc_id").alias("_a"), F.col("r.doc_id").alias("_doc_id"), F.col("r.text_hash").alias("_text_hash"))
+    keyed = docs.select(*docs.columns, F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_text_hash"))
+    same = (keyed["_a"] == kept["_a"]) & (keyed["_text_hash"] == kept["_text_hash"]) & keyed["doc_id"].eqNullSafe(kept["_doc_id"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_a", "_text_hash"]).select(*docs.columns)

@@ -19,6 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .common import slices
 
 from .common import slices
 from .suffix_dedup import as_runs
@@ -93,13 +96,46 @@ class Automaton:
                 matched = length[state]
             state = follow[state].get(symbol, 0)
             matched = matched + 1 if state else 0
-            while length[link[state]] >= window if state else False:
+            while state and length[link[state]] >= window:
                 state = link[state]
                 matched = length[state]
             if matched >= window:
                 yield end - window, first[state]
 
 
+def remove_reference(docs: DataFrame, reference: list[str], shard_words: int = 200_000, window: int = WORDS.window) -> DataFrame:
+    """``docs`` with the column ``kept``: its words (one blank between them) without those in a window that a reference text
+    holds. The reference is bounded by the caller; each of its shards is broadcast as an automaton of its own."""
+    table: dict[str, int] = {}
+    shards, held = [Automaton()], 0
+    for text in reference:
+        words = [table.setdefault(w.decode(), len(table)) for w in text.encode().split()]
+        if held and held + len(words) > shard_words:
+            shards, held = [*shards, Automaton()], 0
+        shards[-1].add(words, 0)
+        held += len(words)
+    known = docs.sparkSession.sparkContext.broadcast((table, [s.close() for s in shards]))
+    own = [c for c in docs.columns if c != "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, automata = known.value
+        for batch in slices(batches, 1 << 20):
+            kept = []
+            for text in batch.column("text").to_pylist():
+                words = [w.decode() for w in (text or "").encode().split()]
+                sequence = [numbers.get(w, -1) for w in words]
+                gone = np.zeros(len(words) + 1, np.int32)
+                for automaton in automata:
+                    for start, _ in automaton.windows(sequence, window):
+                        gone[start] += 1
+                        gone[start + window] -= 1
+                kept.append(" ".join(w for w, g in zip(words, np.cumsum(gone)) if not g))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
+
+    rows = docs.select(*own)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("kept", StringType())]))
+
+
 def numbered(contents: list[bytes]) -> list[list[int]]:
     table: dict[bytes, int] = {}
     return [[table.setdefault(w, len(table)) for w in c.split(b" ")] for c in contents]
@@ -117,21 +153,39 @@ def first_documents(contents: list[bytes], first: np.ndarray, window: int = WORD
     return as_runs(owner, start, document)
 
 
+def kept_words(texts: Text, covered: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(words, removed words, remaining words joined by a blank) of each text."""
+    for a, b in zip(texts.first.tolist(), texts.last.tolist()):
+        whole = texts.content(a, b) if b > a else b""
+        gone = covered[a:b]
+        n_gone = int(np.count_nonzero(gone))
+        yield b - a, n_gone, b" ".join([w for w, g in zip(whole.split(b" "), gone.tolist()) if not g]) if n_gone else whole
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``; rows that lose all their words go, untouched texts stay as they are."""
+    names = docs.columns
+
+    def finish(texts: Text, covered: np.ndarray, table: pa.Table) -> pa.RecordBatch:
+        old = table.column("text").to_pylist()
+        found = list(kept_words(texts, covered))
+        new = pa.array([kept.decode() if gone else t for t, (_, gone, kept) in zip(old, found)], pa.string())
+        left = pa.array([not gone or gone < n for n, gone, _ in found])
+        table = table.set_column(table.schema.get_field_index("text"), "text", new).filter(left).select(names)
+        return table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+
+    return mark_repeats(docs, WORDS, first_documents, finish, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by a blank; left out without ``text``), kept_sha256."""
 
     def finish(texts: Text, covered: np.ndarray, table: pa.Table) -> pa.RecordBatch:
-        rows = []
-        for a, b in zip(texts.first.tolist(), texts.last.tolist()):
-            whole = texts.content(a, b) if b > a else b""
-            gone = covered[a:b]
-            n_gone = int(np.count_nonzero(gone))
-            kept = b" ".join([w for w, g in zip(whole.split(b" "), gone.tolist()) if not g]) if n_gone else whole
-            rows.append((b - a, n_gone, kept.decode() if text else None, hashlib.sha256(kept).hexdigest()))
+        rows = [(n, gone, kept.decode() if text else None, hashlib.sha256(kept).hexdigest()) for n, gone, kept in kept_words(texts, covered)]
         types = (pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), *columns], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    out = mark_repeats(docs, WORDS, first_documents, finish, f"doc_id {key}, n_words long, n_removed long, kept string, kept_sha256 string")
+    out = mark_repeats(docs.select("doc_id", "text"), WORDS, first_documents, finish, f"doc_id {key}, n_words long, n_removed long, kept string, kept_sha256 string")
     return out if text else out.drop("kept")

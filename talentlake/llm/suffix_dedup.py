@@ -135,5 +135,5 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    out = mark_repeats(docs, BYTES, first_documents, finish, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = mark_repeats(docs.select("doc_id", "text"), BYTES, first_documents, finish, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out if text else out.drop("kept")
