@@ -84,12 +84,33 @@ def op10(spark, folder):
     return warc.read(manifest, payload=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-@register("op1_suffix_dedup")
+@register("op1_suffix_dedup", r"""
+    WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+         k AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM w WHERE len(h) >= 100)),
+         f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)),
+         c AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM k JOIN f USING (win) WHERE first < doc_id),
+         r AS (SELECT doc_id, i, sum(CASE WHEN i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+         g AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+         e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM g),
+         t AS (SELECT e.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+                      string_agg(substring(h, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN last = 1 THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+               FROM e JOIN w ON w.doc_id = e.doc_id GROUP BY e.doc_id)
+    SELECT w.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM w LEFT JOIN t ON t.doc_id = w.doc_id""")
 def op1(spark, folder):
     return suffix_dedup.remove_repeats(read_table(spark, folder, "documents"), text=False)
 
 
-@register("op8_substring_dedup")
+@register("op8_substring_dedup", r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+         s AS (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+         k AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 50], ' ') AS win FROM s),
+         f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)),
+         c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(50)) AS j FROM k JOIN f USING (win) WHERE first < doc_id)),
+         p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+         t AS (SELECT p.doc_id, CAST(count(c.p) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p.p) FILTER (c.p IS NULL) AS kept
+               FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)""")
 def op8(spark, folder):
     return substring_dedup.remove_repeats(read_table(spark, folder, "documents"), text=False)
 

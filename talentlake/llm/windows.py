@@ -32,6 +32,7 @@ LAST = np.iinfo(np.int64).max
 MAX_FILTER_BITS = 1 << 30
 GROUP = 5  # windows of a hot key that travel together
 SLICE = 4 << 20
+LEAST_HOT = 1000  # occurrences below which a key is never hot
 
 
 @dataclass(frozen=True)
@@ -179,7 +180,7 @@ def key_filter(docs: DataFrame, unit: Unit, buckets: int) -> Filter:
     found = stored(sent.groupBy("bucket").applyInArrow(count, "bucket int, n long, occurrences long, keys binary, counts binary"), "window-keys")
     sums = found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences")).first()
     slots = max(64, min(1 << (16 * sums["n"]).bit_length(), MAX_FILTER_BITS // buckets // 8 * 8))
-    least = max(1000, sums["occurrences"] // (8 * buckets))
+    least = max(LEAST_HOT, sums["occurrences"] // (8 * buckets))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
