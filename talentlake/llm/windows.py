@@ -32,6 +32,7 @@ LAST = np.iinfo(np.int64).max
 MAX_FILTER_BITS = 1 << 30
 GROUP = 5  # windows of a hot key that travel together
 SLICE = 4 << 20
+BLOCK = 1 << 18  # symbols handled at once
 LEAST_HOT = 1000  # occurrences below which a key is never hot
 
 
@@ -67,47 +68,64 @@ class Text:
         np.cumsum([len(t) + 1 for t in raw], out=bounds[1:])
         if unit.words:
             self.starts, self.ends = word_spans(data)
-            self.symbols = span_hashes(data, self.starts, self.ends)
             first = np.searchsorted(self.starts, bounds)
             self.first, self.last = first[:-1], first[1:]
+            self.length = len(self.starts)
         else:
             self.starts, self.ends = None, None
-            self.symbols = BYTE_VALUE[data]
             self.first, self.last = bounds[:-1], bounds[1:] - 1
-        self.unit = unit
+            self.length = len(data)
+        self.unit, self.data = unit, data
+
+    def symbols(self, a: int, b: int) -> np.ndarray:
+        """Hashes of the symbols a to b - 1."""
+        if not self.unit.words:
+            return BYTE_VALUE[self.data[a:b]]
+        if b <= a:
+            return np.zeros(0, np.uint64)
+        start = int(self.starts[a])
+        return span_hashes(self.data[start : int(self.ends[b - 1])], self.starts[a:b] - start, self.ends[a:b] - start)
+
+    def grams(self, a: int, b: int) -> np.ndarray:
+        """Hashes of the k-grams inside the symbols a to b - 1."""
+        found, size, factor = self.symbols(a, b), 1, int(ROLL)
+        while size < self.unit.gram:  # a power of two
+            found, factor, size = found[:-size] * np.uint64(factor) + found[size:], factor * factor % 2**64, 2 * size
+        return mix(found)
 
     def content(self, a: int, b: int) -> bytes:
         """Text of the symbols a to b - 1."""
         return self.buffer[self.starts[a] : self.ends[b - 1]] if self.unit.words else self.buffer[a:b]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows with one key inside a text: first window, number of windows, key, text; and all gram hashes."""
-        unit, n = self.unit, len(self.symbols)
-        none = np.zeros(0, np.int64)
-        if n < unit.window:
-            return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
-        grams, size, factor = self.symbols, 1, int(ROLL)
-        while size < unit.gram:  # a power of two
-            grams, factor, size = grams[:-size] * np.uint64(factor) + grams[size:], factor * factor % 2**64, 2 * size
-        grams = mix(grams)
-        keys, size = grams, 1
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one key inside a text: first window, number of windows, key, text."""
+        parts, low_text = [], 0
+        while low_text < len(self.first):  # some texts at a time bound the memory
+            high = max(low_text + 1, int(np.searchsorted(self.last, self.first[low_text] + BLOCK)))
+            parts.append(self.runs_of(low_text, high))
+            low_text = high
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def runs_of(self, low_text: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        unit, base = self.unit, int(self.first[low_text])
+        first, last = self.first[low_text:high], self.last[low_text:high]
+        count = np.maximum(last - first - unit.window + 1, 0)
+        text = np.repeat(np.arange(len(count)), count)
+        if not len(text):
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(np.uint64), none
+        keys, size = self.grams(base, int(last[-1])), 1
         while 2 * size <= unit.span:
             keys, size = np.minimum(keys[:-size], keys[size:]), 2 * size
         if size < unit.span:
             keys = np.minimum(keys[: size - unit.span], keys[unit.span - size :])
-        count = np.maximum(self.last - self.first - unit.window + 1, 0)
-        text = np.repeat(np.arange(len(count)), count)
-        if not len(text):
-            return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
-        offset = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        at = self.first[text] + offset
-        key = keys[at]
+        at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        key = keys[at - base]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
         start = np.flatnonzero(new)
         inside = np.arange(len(at)) - np.repeat(start, np.diff(np.concatenate([start, [len(at)]])))
         start = np.flatnonzero(inside % unit.span == 0)  # long runs (repeating text) are cut
-        return at[start], np.diff(np.concatenate([start, [len(at)]])), key[start], text[start], grams
-
+        return at[start], np.diff(np.concatenate([start, [len(at)]])), key[start], text[start] + low_text
 
 def scaled(h: np.ndarray, n: int) -> np.ndarray:
     """The upper half of a hash as a number below n."""
@@ -140,7 +158,7 @@ def key_filter(docs: DataFrame, unit: Unit, buckets: int) -> Filter:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
-            _, _, key, text, _ = Text(batch.column("text").to_pylist(), unit).runs()
+            _, _, key, text = Text(batch.column("text").to_pylist(), unit).runs()
             if not len(key):
                 continue
             order = np.lexsort((text, key))
@@ -202,13 +220,13 @@ class Segments:
 
     def __init__(self, texts: list[str | None], ids: np.ndarray, unit: Unit, known: Filter, buckets: int):
         self.text = Text(texts, unit)
-        at, count, key, doc, grams = self.text.runs()
+        at, count, key, doc = self.text.runs()
         keep = known.repeated(key)
         at, count, key, doc = at[keep], count[keep], key[keep], doc[keep]
         hot = known.is_hot(key)
         bucket = scaled(mix(key), buckets)
         if hot.any():
-            finer = [self.split(a, c, k, d, grams, buckets) for a, c, k, d in zip(at[hot], count[hot], key[hot], doc[hot])]
+            finer = [self.split(a, c, k, d, buckets) for a, c, k, d in zip(at[hot], count[hot], key[hot], doc[hot])]
             extra = np.concatenate(finer) if finer else np.zeros((0, 4), np.int64)
             at, count, doc, bucket = (np.concatenate([x[~hot], extra[:, i]]) for i, x in enumerate((at, count, doc, bucket)))
         order = np.lexsort((at, bucket))
@@ -225,10 +243,10 @@ class Segments:
         np.maximum.at(most, self.segment, own)
         self.several = (most > self.first).astype(np.uint8)
 
-    def split(self, at: int, count: int, key: int, doc: int, grams: np.ndarray, buckets: int) -> np.ndarray:
+    def split(self, at: int, count: int, key: int, doc: int, buckets: int) -> np.ndarray:
         """Segments of a hot key by the place of the key in the window, dealt by what their windows share."""
         unit = self.text.unit
-        places = at + np.flatnonzero(grams[at : at + count + unit.span - 1] == key)
+        places = at + np.flatnonzero(self.text.grams(at, at + count + unit.window - 1) == key)
         starts = np.arange(at, at + count)
         place = places[np.searchsorted(places, starts)]
         group = (place - starts) // GROUP
@@ -312,7 +330,7 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
         table = in_order(table)
         own = segments_of(table)
         ids = order_ids(table.column("doc_id"))
-        step = np.zeros(len(own.text.symbols) + 1, np.int32)
+        step = np.zeros(own.text.length + 1, np.int32)
         if answers.num_rows:
             edges = own.edges(buckets)
             replies = answers.to_pylist()

@@ -114,6 +114,6 @@ def test_broadcast_reference(spark):
 
 def test_runs_of_windows_share_keys():
     text = windows.Text(["a b " * 60, "x" * 60], windows.BYTES)
-    at, count, key, doc, _ = text.runs()
+    at, count, key, doc = text.runs()
     assert count.sum() == 240 - 49 + 60 - 49 and set(doc.tolist()) == {0, 1} and count.max() <= windows.BYTES.span
     assert np.all(np.diff(at) > 0) and len(key) == len(at)
