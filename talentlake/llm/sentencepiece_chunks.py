@@ -37,6 +37,9 @@ class ChunkTable(dict):
         if len(self) > self.limit:
             self.clear()
         missing = list(set(chain.from_iterable(chunks)).difference(self))
+        if MARK in missing:  # a blank that ends a text; the library gives an empty text no marker
+            missing.remove(MARK)
+            self[MARK] = np.array([self.model.piece_to_id(MARK)], "<i4").tobytes()
         # The library puts a marker in front of every text: that is the first marker of the chunk.
         for chunk, ids in zip(missing, self.model.encode([c[1:] for c in missing], num_threads=1)):
             self[chunk] = np.array(ids, "<i4").tobytes()
