@@ -96,7 +96,7 @@ def both(t):
 
 
 @query("e01_emails", r"""
-    SELECT kind, id, array_to_string(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b')[:5], ', ') AS emails FROM {all_texts}""", {"all_texts": _BOTH})
+    SELECT kind, id, array_to_string(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), ', ') AS emails FROM {all_texts}""", {"all_texts": _BOTH})
 def _(t):
     return both(t).select("kind", "id", F.array_join(contact.emails("text"), ", ").alias("emails"))
 

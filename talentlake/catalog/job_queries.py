@@ -18,8 +18,8 @@ from .registry import query, rnd
 from .text_queries import json_items, norm, profile_rows
 
 
-# Rows per text file: keeps every file below the size limit of the reader.
-ROWS_PER_FILE = 20
+# Rows per text file.
+ROWS_PER_FILE = 2000
 
 
 @query("s01_read_cv_text", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source")
@@ -129,13 +129,13 @@ def _(t):
     return t.spark.read.schema("candidate_id bigint, full_name string").json(folder)
 
 
-def reduced_pairs(t, k=10, terms=300):
+def reduced_pairs(t, k=200, terms=md.MAX_FEATURES):
     """Document and item pairs with reduced vectors, overlap features and the quality label."""
     docs = t.documents.select("doc_id", "text")
     vocabulary = cut_lineage(ft.tfidf_fit(docs, terms))
     reducer = md.svd_fit(docs, vocabulary, k)
-    cv = md.svd_transform(ft.tfidf_transform(docs, vocabulary), reducer, "doc_id").withColumnRenamed("reduced", "cv_reduced")
-    job = md.svd_transform(ft.tfidf_transform(t.benchmark, vocabulary, "item_id"), reducer, "item_id").withColumnRenamed("reduced", "job_reduced")
+    cv = md.svd_transform(ft.tfidf_vectors(docs, vocabulary), reducer, "doc_id").withColumnRenamed("reduced", "cv_reduced")
+    job = md.svd_transform(ft.tfidf_vectors(t.benchmark, vocabulary, "item_id"), reducer, "item_id").withColumnRenamed("reduced", "job_reduced")
     pairs = t.labels.join(docs, "doc_id").withColumn("item_id", F.expr("doc_id % 40")).join(
         t.benchmark.select("item_id", F.col("text").alias("job_text")), "item_id").withColumnRenamed("text", "cv_text")
     return ft.pair_overlap_features(pairs).join(cv, "doc_id").join(job, "item_id").withColumn("label", F.col("quality"))
@@ -144,9 +144,9 @@ def reduced_pairs(t, k=10, terms=300):
 @query("f04_svd")
 def _(t):
     docs = t.documents.select("doc_id", "text")
-    vocabulary = cut_lineage(ft.tfidf_fit(docs, 300))
-    reducer = md.svd_fit(docs, vocabulary, 10)
-    return md.svd_transform(ft.tfidf_transform(docs, vocabulary), reducer, "doc_id").select("doc_id", F.size("reduced").alias("n_components"))
+    vocabulary = cut_lineage(ft.tfidf_fit(docs, md.MAX_FEATURES))
+    reducer = md.svd_fit(docs, vocabulary, 200)
+    return md.svd_transform(ft.tfidf_vectors(docs, vocabulary), reducer, "doc_id").select("doc_id", F.size("reduced").alias("n_components"))
 
 
 @query("f05_pair_vector")
@@ -168,7 +168,7 @@ def _(t):
 
 @query("f17_train_gbt")
 def _(t):
-    return _scored(t, lambda df: md.train_gbt(df, trees=10, depth=3))
+    return _scored(t, md.train_gbt)
 
 
 @query("f18_train_forest")
@@ -189,14 +189,15 @@ def model_pairs(t):
 @query("f19_score_pairs")
 def _(t):
     rows = model_pairs(t)
-    return md.score_pairs(md.train_logistic(rows, 20), rows).select("criteria_id", "candidate_id", round_dp(F.col("probability_1"), 6).alias("probability"))
+    return md.score_pairs(md.train_logistic(rows), rows).select("criteria_id", "candidate_id", round_dp(F.col("probability_1"), 6).alias("probability"))
 
 
 @query("m17_predict_top_k")
 def _(t):
     rows = model_pairs(t)
-    top = md.predict_top_k(md.train_logistic(rows, 20), rows)
-    return top.select("criteria_id", "candidate_id", "rank", round_dp(F.col("score_pct"), 4).alias("score_pct"), "decision", "coverage_pct",
+    people = ql.matchable(t.candidates).select("candidate_id", "full_name", "email")
+    top = md.predict_top_k(md.train_logistic(rows), rows.join(people, "candidate_id"))
+    return top.select("criteria_id", "candidate_id", "full_name", "email", "rank", round_dp(F.col("score_pct"), 4).alias("score_pct"), "decision", "coverage_pct",
                       F.array_join("matched_skills", ", ").alias("matched"), F.array_join("missing_skills", ", ").alias("missing"))
 
 
@@ -210,9 +211,10 @@ def _stream(t, name):
 def _(t):
     folder, sink, state = [scratch_dir(t.spark, n) for n in ("inbox", "ingested", "ingest-state")]
     t.cv_texts.select("text").write.option("maxRecordsPerFile", ROWS_PER_FILE).text(folder)
-    stream = jobs.stream_ingest(t.spark, folder).select("path", "emails", "skills", F.regexp_count("text", F.lit("@mail")).alias("n"))
+    stream = jobs.stream_ingest(t.spark, folder).select(
+        "path", F.size("emails").alias("n_mails"), F.regexp_count("text", F.lit("Master of Science")).alias("n_cvs"))
     jobs.write_batches(stream, sink, state).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(sink).agg(F.sum("n").alias("n_mails"), F.sum("n").alias("n_cvs"))
+    return t.spark.read.parquet(sink).agg(F.sum("n_mails").alias("n_mails"), F.sum("n_cvs").alias("n_cvs"))
 
 
 @query("x02_stream_latest", """

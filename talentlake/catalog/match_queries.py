@@ -437,7 +437,7 @@ IDEAL = {**JOB_VIEWS, "job_texts": f"""
     SELECT kind || id AS job_id, lower({_CLEAN_SQL}) AS low FROM (
         SELECT 'c' AS kind, criteria_id AS id, title || '. ' || coalesce(description, '') AS text FROM {{job_criteria}}
         UNION ALL SELECT 'b', item_id, text FROM benchmark)""", "ideal": f"""
-    SELECT job_id, CASE WHEN len(tech) + len(soft) > 0 THEN (tech || soft)[:10] ELSE ['communication', 'problem solving', 'teamwork'] END AS names, tech, level, years, education, languages, industries
+    SELECT job_id, CASE WHEN len(tech) + len(soft) > 0 THEN tech || soft ELSE ['communication', 'problem solving', 'teamwork'] END AS names, tech, level, years, education, languages, industries
     FROM (SELECT job_id, {_word_hits(mt.IDEAL_TECH)} AS tech, {_word_hits(mt.IDEAL_SOFT)} AS soft,
         CASE WHEN regexp_matches(low, 'senior|expert|advanced|lead') THEN 'Advanced' WHEN regexp_matches(low, 'junior|entry|beginner') THEN 'Beginner' ELSE 'Intermediate' END AS level,
         coalesce(TRY_CAST(regexp_extract(low, '([0-9]{{1,2}})\\s*\\+?\\s*(?:years|yrs|ans)', 1) AS INTEGER),
@@ -475,7 +475,7 @@ def _(t):
         SELECT name, max(w) AS w FROM (SELECT criteria_id, coalesce({sql_map(mt.WEIGHTED_NAMES)}[lower(s)], s) AS name, 30 AS w
             FROM (SELECT criteria_id, unnest(skills) AS s FROM {{job_rows}})
           UNION ALL SELECT criteria_id, {sql_map(mt.WEIGHTED_NAMES)}[k], w FROM {{low_jobs}}, (VALUES {", ".join(f"('{k}', {w})" for k, w in mt.WEIGHTED_KEYWORDS.items())}) v(k, w)
-            WHERE contains(low, k)) x WHERE x.criteria_id = b.criteria_id GROUP BY name ORDER BY w DESC, name LIMIT 10)) AS skills,
+            WHERE contains(low, k)) x WHERE x.criteria_id = b.criteria_id GROUP BY name)) AS skills,
       coalesce(nullif(regexp_extract(low, '(\\d{{1,2}})\\+?\\s*(?:ans|years?|yrs?)', 1), '') || '+ years', CASE WHEN regexp_matches(low, 'senior|lead|principal') THEN '5+ years' ELSE '3+ years' END) AS experience,
       CASE WHEN regexp_matches(low, 'phd|doctorat') THEN 'PhD or equivalent' WHEN regexp_matches(low, 'master|msc|m\\.sc|ingénieur|engineer') THEN 'Master''s degree' ELSE 'Bachelor''s degree' END AS education,
       coalesce(nullif(array_to_string(list_filter(['English', 'French', 'Spanish', 'German'], lambda l: contains(low, lower(l))), ', '), ''), 'English') AS languages

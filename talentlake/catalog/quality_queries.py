@@ -27,19 +27,19 @@ def pieces(t):
         F.expr("CASE doc_id % 6 WHEN 0 THEN 'jean paul MARTIN' WHEN 1 THEN 'x@y.z name' WHEN 2 THEN 'solo' WHEN 3 THEN '  anna   lee ' WHEN 4 THEN 'agent 007' END").alias("name"))
 
 
-def _first(source: str, key: str, value: str, by: str, limit: int) -> str:
+def _first(source: str, key: str, value: str, by: str) -> str:
     """Distinct values per document in list order, the earliest spelling of equal keys."""
     return f"""
-    SELECT doc_id, string_agg(v, ' | ' ORDER BY pos) AS items FROM (SELECT doc_id, arg_min(v, i) AS v, min(i) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS rn
-        FROM (SELECT doc_id, i, {value} AS v FROM (SELECT doc_id, unnest({key}) AS x, generate_subscripts({key}, 1) AS i FROM {{pieces}})) WHERE {source} GROUP BY doc_id, {by}) WHERE rn <= {limit} GROUP BY doc_id"""
+    SELECT doc_id, string_agg(v, ' | ' ORDER BY pos) AS items FROM (SELECT doc_id, arg_min(v, i) AS v, min(i) AS pos
+        FROM (SELECT doc_id, i, {value} AS v FROM (SELECT doc_id, unnest({key}) AS x, generate_subscripts({key}, 1) AS i FROM {{pieces}})) WHERE {source} GROUP BY doc_id, {by}) GROUP BY doc_id"""
 
 
-@query("q01_clean_emails", _first(r"regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')", "emails", "lower(trim(x))", "v", 5), PIECES)
+@query("q01_clean_emails", _first(r"regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')", "emails", "lower(trim(x))", "v"), PIECES)
 def _(t):
     return pieces(t).select("doc_id", F.array_join(ql.clean_emails("emails"), " | ").alias("items"))
 
 
-@query("q02_clean_phones", _first(r"length(regexp_replace(v, '\D', '', 'g')) BETWEEN 10 AND 15", "phones", "trim(x)", r"regexp_replace(v, '\D', '', 'g')", 3), PIECES)
+@query("q02_clean_phones", _first(r"length(regexp_replace(v, '\D', '', 'g')) BETWEEN 10 AND 15", "phones", "trim(x)", r"regexp_replace(v, '\D', '', 'g')"), PIECES)
 def _(t):
     return pieces(t).select("doc_id", F.array_join(ql.clean_phones("phones"), " | ").alias("items"))
 
@@ -57,9 +57,9 @@ _BANNED = ["the", "der"]
 
 @query("q04_clean_list", _first(
     f"length(v) BETWEEN 5 AND 80 AND NOT contains(v, '@') AND NOT contains(lower(v), 'http') AND NOT regexp_matches(v, '\\b(19|20)\\d{{2}}\\b') AND NOT {any_of('lower(v)', _BANNED)}".replace("{{2}}", "{2}"),
-    "sentences", f"trim(regexp_replace(x, '{SP}+', ' ', 'g'))", "lower(v)", 8), PIECES)
+    "sentences", f"trim(regexp_replace(x, '{SP}+', ' ', 'g'))", "lower(v)"), PIECES)
 def _(t):
-    return pieces(t).select("doc_id", F.array_join(ql.clean_list("sentences", 5, 80, 8, _BANNED), " | ").alias("items")).filter("items <> ''")
+    return pieces(t).select("doc_id", F.array_join(ql.clean_list("sentences", 5, 80, None, _BANNED), " | ").alias("items")).filter("items <> ''")
 
 
 def cleaned_profiles(t):
@@ -257,7 +257,7 @@ def _(t):
     return ql.clean_candidates(rows).select("row_id", F.array_join("normalized_skills", ", ").alias("skills"), "experience_years", "education")
 
 
-@query("q20_valid_text", "SELECT doc_id, left(text, 5000) AS stored_text FROM documents WHERE length(trim(text)) >= 10")
+@query("q20_valid_text", "SELECT doc_id, text AS stored_text FROM documents WHERE length(trim(text)) >= 10")
 def _(t):
     return ql.valid_text(t.documents).select("doc_id", "stored_text")
 

@@ -74,7 +74,7 @@ def _align(mark, label, sign):
              WHEN len(matched) > 0 THEN 'Good skills match: ' || array_to_string(matched[:2], ', ')
              WHEN similarity > 0.75 THEN 'Strong text/profile similarity with job description' ELSE 'Limited overlap between background and job requirements' END AS key_reason,
         array_to_string((CASE WHEN len(advice) > 0 THEN advice ELSE ['Strong candidate — proceed with hiring process'] END)[:2], ' / ') AS recommendations,
-        array_to_string(matched[:5], ', ') AS top_matched, array_to_string(missing[:3], ', ') AS top_missing
+        array_to_string(matched, ', ') AS top_matched, array_to_string(missing, ', ') AS top_missing
     FROM (SELECT *, round(score_01, 9) AS s, cv_years - job_years AS g, list_filter([CASE WHEN len(missing) > 0 THEN 'Consider candidates with: ' || array_to_string(missing[:2], ', ') END,
         CASE WHEN cv_years - job_years < -1 THEN 'Candidate needs more industry experience' END, CASE WHEN round(score_01, 9) > 0.6 THEN 'Recommended for interview or technical assessment' END,
         CASE WHEN round(score_01, 9) < 0.5 THEN 'Better candidates may exist; consider re-posting' END], lambda x: x IS NOT NULL) AS advice FROM {{rules}})""", RULES)
@@ -98,11 +98,12 @@ ANALYSIS = {**PAIR_VIEWS, "analysed": f"""
 
 def analysed(t):
     sizes = t.candidate_skills.groupBy("candidate_id").agg(F.count("*").alias("n_skills"))
-    scores = mt.pair_cosine(t.candidate_skills, t.criteria_skills).join(sizes, "candidate_id")
+    scores = mt.pair_cosine(t.candidate_skills, t.criteria_skills).join(sizes, "candidate_id").withColumn(
+        "level_score", F.expr("cast((candidate_id + criteria_id) % 10 * 10 as double)"))
     return dc.candidate_analysis(t.candidates, scores)
 
 
-_STRONG = "array_to_string(list_filter([CASE WHEN share >= 70 THEN 'Strong skill match' END, CASE WHEN quality_pct >= 70 THEN 'Complete data extraction' END, CASE WHEN n_skills >= 15 THEN 'Diverse skill portfolio' END], lambda x: x IS NOT NULL), ', ')"
+_STRONG = "array_to_string(list_filter([CASE WHEN share >= 70 THEN 'Strong skill match' END, CASE WHEN (candidate_id + criteria_id) % 10 >= 8 THEN 'High experience level' END, CASE WHEN quality_pct >= 70 THEN 'Complete data extraction' END, CASE WHEN n_skills >= 15 THEN 'Diverse skill portfolio' END], lambda x: x IS NOT NULL), ', ')"
 
 
 @query("d06_strengths", f"""
@@ -112,7 +113,7 @@ def _(t):
 
 
 @query("d07_gaps", """
-    SELECT criteria_id, candidate_id, array_to_string(list_filter([CASE WHEN share < 50 THEN 'Key skills missing - consider training' END, 'Less experience than required',
+    SELECT criteria_id, candidate_id, array_to_string(list_filter([CASE WHEN share < 50 THEN 'Key skills missing - consider training' END, CASE WHEN (candidate_id + criteria_id) % 10 < 5 THEN 'Less experience than required' END,
         CASE WHEN coalesce(extracted_job_titles, '') = '' THEN 'Job title extraction unavailable' END,
         CASE WHEN coalesce(extracted_companies, '') = '' THEN 'Company background extraction unavailable' END], lambda x: x IS NOT NULL), ', ') AS gaps FROM {analysed}""", ANALYSIS)
 def _(t):

@@ -65,7 +65,7 @@ def _(t):
     return t.supplier.select("s_suppkey", tx.normalize_company(raw).alias("company"))
 
 
-@query("t04_normalize_job_title", f"SELECT doc_id, left({norm('text')}, 120) AS job_title FROM documents")
+@query("t04_normalize_job_title", f"SELECT doc_id, {norm('text')} AS job_title FROM documents")
 def _(t):
     return t.documents.select("doc_id", tx.normalize_job_title("text").alias("job_title"))
 
@@ -121,12 +121,9 @@ def _(t):
 
 
 @query("t10_flatten_text", """
-    SELECT doc_id, left(replace(text, chr(10), ' '), 10000) AS cv_text, left(replace(text, chr(10), ' '), 5000) AS job_text
-    FROM documents""")
+    SELECT doc_id, replace(text, chr(10), ' ') AS flat_text FROM documents""")
 def _(t):
-    return t.documents.select(
-        "doc_id", tx.flatten_text("text", 10000).alias("cv_text"), tx.flatten_text("text", 5000).alias("job_text")
-    )
+    return t.documents.select("doc_id", tx.flatten_text("text").alias("flat_text"))
 
 
 PROFILE_VIEWS = {"profile_rows": f"""

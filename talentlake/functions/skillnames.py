@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import as_column, contains_any, normalize_text, title_case
+from .text import as_column, contains_any, first_items, normalize_text, title_case
 
 _SPELLING = {s.lower(): s for skills in reversed(vocab.SKILL_DICTIONARY.values()) for s in skills}
 _CATEGORY = {s.lower(): category for category, skills in vocab.SKILL_DICTIONARY.items() for s in skills}
@@ -58,7 +58,7 @@ def classify_skill(value: Column | str) -> Column:
     return out.otherwise("tech")
 
 
-def tech_skills(value: Column | str, vocabulary: list[str] | None = None, limit: int = 50) -> Column:
+def tech_skills(value: Column | str, vocabulary: list[str] | None = None, limit: int | None = None) -> Column:
     """Technical terms of a text, in title case and alphabetical order."""
     words = vocabulary or vocab.TECH_SKILLS
     lowered = F.lower(F.coalesce(as_column(value), F.lit("")))
@@ -66,4 +66,4 @@ def tech_skills(value: Column | str, vocabulary: list[str] | None = None, limit:
     single = F.array_intersect(F.array(*[F.lit(w) for w in words if " " not in w]), tokens)
     phrases = F.array(*[F.when(lowered.rlike(rf"\b{p}\b"), F.lit(p)) for p in words if " " in p])
     found = F.concat(single, F.filter(phrases, lambda p: p.isNotNull()))
-    return F.slice(F.array_sort(F.transform(found, title_case)), 1, limit)
+    return first_items(F.array_sort(F.transform(found, title_case)), limit)

@@ -26,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_items(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` items, all of them without a limit."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def first_chars(text: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters, all of them without a limit."""
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
 def normalize_text(value: Column | str) -> Column:
     """Collapse all white space to single spaces, trim; null becomes the empty string."""
     return F.trim(F.regexp_replace(F.coalesce(as_column(value), F.lit("")), SPACE + "+", " "))
@@ -41,8 +51,8 @@ def normalize_company(value: Column | str) -> Column:
     return F.btrim(normalize_text(value), F.lit(" ,.-"))
 
 
-def normalize_job_title(value: Column | str) -> Column:
-    return F.left(normalize_text(value), F.lit(120))
+def normalize_job_title(value: Column | str, limit: int | None = None) -> Column:
+    return first_chars(normalize_text(value), limit)
 
 
 def normalize_layout(value: Column | str) -> Column:
@@ -100,8 +110,8 @@ def title_case(value: Column | str) -> Column:
     return F.array_join(F.transform(runs, capitalize), "")
 
 
-def flatten_text(value: Column | str, limit: int) -> Column:
-    return F.left(F.replace(F.coalesce(as_column(value), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(limit))
+def flatten_text(value: Column | str, limit: int | None = None) -> Column:
+    return first_chars(F.replace(F.coalesce(as_column(value), F.lit("")), F.lit("\n"), F.lit(" ")), limit)
 
 
 def richness(value: Column | str) -> Column:

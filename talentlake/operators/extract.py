@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import contact, lines as ln
 from ..functions.skillnames import tech_skills
-from ..functions.text import (
+from ..functions.text import (first_items, 
     SPACE, capitalize, contains_any, fold, let, strip_space, title_case,
 )
 
@@ -74,10 +74,10 @@ def annotate_lines(docs: DataFrame, text: str = "text", name: str = "lines") ->
 def _pick(array: Column, keep, value=lambda x: x["line"], limit: int | None = None) -> Column:
     """Distinct values of the lines that pass a rule, in line order."""
     found = F.array_distinct(F.filter(F.transform(F.filter(array, keep), value), lambda v: v != ""))
-    return F.slice(found, 1, limit) if limit else found
+    return first_items(found, limit)
 
 
-def job_titles(array: Column, limit: int = 5) -> Column:
+def job_titles(array: Column, limit: int | None = None) -> Column:
     """Title lines next to a company line: up to three lines below one in the experience section, or right above one."""
     def stops(x: Column) -> Column:
         return F.coalesce((x["line"] != "") & (x["header"] | x["company"]), F.lit(False))
@@ -94,14 +94,14 @@ def job_titles(array: Column, limit: int = 5) -> Column:
     return let(array, lambda a: _pick(a, keep(a), limit=limit))
 
 
-def companies(array: Column, text: Column, limit: int = 5) -> Column:
+def companies(array: Column, text: Column, limit: int | None = None) -> Column:
     """Companies of company-like lines in line order, then well-known names found anywhere in the text."""
     from_lines = _pick(array, lambda x: x["company"], lambda x: ln.company_from_line(x["raw"]))
     known = F.array_compact(F.array(*[F.when(F.lower(text).contains(c), F.lit(c.title())) for c in vocab.KNOWN_COMPANIES]))
-    return F.slice(F.array_distinct(F.concat(from_lines, known)), 1, limit)
+    return first_items(F.array_distinct(F.concat(from_lines, known)), limit)
 
 
-def education(array: Column, limit: int = 5) -> Column:
+def education(array: Column, limit: int | None = None) -> Column:
     def keep(x: Column) -> Column:
         in_section = x["in_education"] & F.length(x["line"]).between(5, 200)
         return x["education"] & (in_section | ln.has_education_word(x["norm"]))
@@ -109,13 +109,13 @@ def education(array: Column, limit: int = 5) -> Column:
     return _pick(array, keep, limit=limit)
 
 
-def languages(text: Column, limit: int = 8) -> Column:
+def languages(text: Column, limit: int | None = None) -> Column:
     names = F.array(*[F.lit(w) for w in vocab.LANGUAGE_NAMES])
     found = F.array_intersect(F.split(fold(text), " "), names)
-    return F.slice(F.transform(found, capitalize), 1, limit)
+    return first_items(F.transform(found, capitalize), limit)
 
 
-def soft_skills(array: Column, limit: int = 20) -> Column:
+def soft_skills(array: Column, limit: int | None = None) -> Column:
     """Short items of the skills section that are no sentence; without any, vocabulary lines anywhere."""
     def keep(x: Column) -> Column:
         refused = x["norm"].isin(vocab.LANGUAGE_NAMES) | x["line"].contains("@") | x["norm"].contains("http") | x["line"].endswith(".")
@@ -125,10 +125,10 @@ def soft_skills(array: Column, limit: int = 20) -> Column:
         return let(_pick(a, keep), lambda found: F.when(F.size(found) > 0, found).otherwise(
             _pick(a, lambda x: x["norm"].isin(vocab.SOFT_SKILL_WORDS))))
 
-    return F.slice(let(array, choose), 1, limit)
+    return first_items(let(array, choose), limit)
 
 
-def interests(array: Column, limit: int = 20) -> Column:
+def interests(array: Column, limit: int | None = None) -> Column:
     def keep(x: Column) -> Column:
         refused = (x["line"].contains("@") | F.lower(x["line"]).contains("http") | x["line"].rlike(ln.YEAR)
                    | ln.has_education_word(x["norm"]) | x["company"])
@@ -137,7 +137,7 @@ def interests(array: Column, limit: int = 20) -> Column:
     return _pick(array, keep, limit=limit)
 
 
-def certifications(array: Column, limit: int = 20) -> Column:
+def certifications(array: Column, limit: int | None = None) -> Column:
     """Items of the certification section and lines that name a certificate."""
     def keep(x: Column) -> Column:
         inline = contains_any(x["norm"], vocab.CERTIFICATION_WORDS) & ~_opens(x["norm"], "certifications")
@@ -146,7 +146,7 @@ def certifications(array: Column, limit: int = 20) -> Column:
     return _pick(array, keep, limit=limit)
 
 
-def projects(array: Column, limit: int = 20) -> Column:
+def projects(array: Column, limit: int | None = None) -> Column:
     """Items of the project section and lines that report something built."""
     def keep(x: Column) -> Column:
         inline = contains_any(x["norm"], vocab.PROJECT_WORDS) & ~x["company"] & ~_opens(x["norm"], "projects")
@@ -156,13 +156,13 @@ def projects(array: Column, limit: int = 20) -> Column:
     return _pick(array, keep, limit=limit)
 
 
-def locations(text: Column, limit: int = 3) -> Column:
-    """"City, Country" mentions in the first thirty lines."""
-    head = F.transform(F.slice(F.split(text, "\n"), 1, 30), strip_space)
+def locations(text: Column, limit: int | None = None, lines: int | None = None) -> Column:
+    """City, Country mentions (in the first ``lines`` lines, if given)."""
+    head = F.transform(first_items(F.split(text, "\n"), lines), strip_space)
     usable = F.filter(head, lambda s: ~s.contains("@") & ~F.lower(s).contains("linkedin.com") & ~s.rlike(r"\d{2}\s?\d{2}"))
     pattern = r"([A-ZÀ-Ÿ][A-Za-zÀ-ÿ\-]+\s*,\s*[A-ZÀ-Ÿ][A-Za-zÀ-ÿ\-]+)"
     found = F.flatten(F.transform(usable, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(1))))
-    return F.slice(F.array_distinct(found), 1, limit)
+    return first_items(F.array_distinct(found), limit)
 
 
 def _name_score(line: Column, most: int, upper: int, title: int, other: int) -> Column:
@@ -176,8 +176,8 @@ def _name_like(line: Column, norm: Column, most: int) -> Column:
     return (line != "") & ~refused & F.size(words).between(2, most) & F.forall(words, lambda w: w.rlike(ln.LETTER))
 
 
-def person_name(array: Column, text: Column) -> Column:
-    """Best-scored name-like line or fragment of the first eighty lines, else the name in the first address."""
+def person_name(array: Column, text: Column, first_lines: int | None = None) -> Column:
+    """Best-scored name-like line or fragment (of the ``first_lines``, if given), else the name in the first address."""
     def option(score: Column, pos: Column, part: Column, name: Column) -> Column:
         return F.struct((-score).alias("down"), F.length(name).alias("size"), pos.alias("pos"), part.alias("part"), title_case(name).alias("name"))
 
@@ -191,7 +191,7 @@ def person_name(array: Column, text: Column) -> Column:
             F.when(x["pos"] < 10, 4).otherwise(2) + _name_score(p, 4, 4, 3, 0), x["pos"], i + 1, p))
         return F.concat(whole, parts)
 
-    lines = F.filter(F.slice(array, 1, 80), lambda x: _name_like(x["line"], x["norm"], 3))
+    lines = F.filter(first_items(array, first_lines), lambda x: _name_like(x["line"], x["norm"], 3))
     best = F.array_min(F.flatten(F.transform(lines, of_line)))["name"]
     fallback = contact.name_from_email(F.get(contact.emails(text), F.lit(0)))
     return F.when(F.length(best) >= 3, best).otherwise(F.coalesce(fallback, best))
@@ -206,27 +206,31 @@ _SUMMARY_CUES = ["diplome", "experience", "passion", "relationnel"]
 _SUMMARY_STOPS = ["contact", "linkedin", "langues", "competences", "experiences", "formation"]
 
 
-def profile_summary(array: Column, text: Column) -> Column:
-    """Lines of the first profile section until 350 characters are passed; without any, the first lines that read like
-    a summary."""
+def profile_summary(array: Column, text: Column, stop_after: int | None = None, following_lines: int | None = None) -> Column:
+    """Lines of the first profile section (until ``stop_after`` characters are passed); without any, the first line that
+    reads like a summary with the lines that follow it (``following_lines`` at most)."""
     def section(a: Column) -> Column:
         opened = F.array_min(F.transform(F.filter(a, lambda x: _opens(x["norm"], "profile")), lambda x: x["pos"]))
         closed = F.array_min(F.transform(F.filter(a, lambda x: (x["pos"] > opened) & x["header"] & ~x["norm"].isin(vocab.PROFILE_HEADERS)), lambda x: x["pos"]))
         body = F.filter(a, lambda x: (x["pos"] > opened) & F.coalesce(x["pos"] < closed, F.lit(True)) & ~_opens(x["norm"], "profile")
                         & (F.length(x["line"]) >= 10) & ~x["line"].contains("@") & ~F.lower(x["line"]).contains("linkedin.com"))
-        return F.transform(body, lambda x: x["line"])
+        lines = F.transform(body, lambda x: x["line"])
+        if stop_after is None:
+            return lines
+        # Lines that are still collected: the text before them has not passed the bound.
+        return F.filter(lines, lambda x, i: F.length(F.array_join(F.slice(lines, F.lit(1), i), " ")) <= stop_after)
 
     def joined(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(""), lambda s, p: F.when(F.length(s) > 350, s).when(s == "", p).otherwise(F.concat_ws(" ", s, p)))
+        return F.array_join(parts, " ")
 
     def without_phones(parts: Column) -> Column:
         kept = F.filter(parts, lambda p: ~p.rlike(contact.LOCAL_PHONE) & (F.length(p) >= 20))
         return F.when(joined(parts).rlike(contact.LOCAL_PHONE), joined(kept)).otherwise(joined(parts))
 
     def chunks(a: Column) -> Column:
-        """Every seed line with up to four lines that follow it."""
+        """Every seed line with the lines that follow it up to the next stop."""
         def chunk(x: Column) -> Column:
-            following = F.filter(F.slice(a, x["pos"] + 2, F.lit(4)), lambda f: F.length(f["line"]) >= 8)
+            following = F.filter(F.slice(a, x["pos"] + 2, F.size(a) if following_lines is None else F.lit(following_lines)), lambda f: F.length(f["line"]) >= 8)
             def stop(f: Column) -> Column:
                 return f["header"] | contains_any(f["norm"], _SUMMARY_STOPS) | f["line"].contains("@") | f["line"].rlike(contact.LOCAL_PHONE)
             first_stop = F.array_min(F.transform(F.filter(following, stop), lambda f: f["pos"]))
@@ -276,7 +280,7 @@ def _parse_anchor(line: Column, norm: Column, before: Column, after: Column) ->
     return let(judged, choose)
 
 
-def experiences(array: Column, limit: int = 12) -> Column:
+def experiences(array: Column, limit: int | None = None, duties_limit: int | None = None) -> Column:
     """Work experiences: a running state over the lines after the experience header.
 
     Anchor lines open an entry; the lines that follow fill its gaps and its responsibilities.
@@ -292,7 +296,7 @@ def experiences(array: Column, limit: int = 12) -> Column:
 
     def flushed(s: Column) -> Column:
         cur = s["cur"]
-        ready = entry(cur["title"], cur["company"], cur["period"], F.slice(F.array_distinct(cur["responsibilities"]), 1, 10))
+        ready = entry(cur["title"], cur["company"], cur["period"], first_items(F.array_distinct(cur["responsibilities"]), duties_limit))
         return F.when(cur.isNotNull(), F.concat(s["done"], F.array(ready))).otherwise(s["done"])
 
     def prepare(a: Column) -> Column:
@@ -338,10 +342,10 @@ def experiences(array: Column, limit: int = 12) -> Column:
         return let(F.transform(items, key), lambda keys: F.filter(items, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
     found = let(array, lambda a: F.aggregate(prepare(a), start, step, flushed))
-    return F.slice(let(found, unique), 1, limit)
+    return first_items(let(found, unique), limit)
 
 
-def section_skills(array: Column, text: Column) -> Column:
+def section_skills(array: Column, text: Column, limit: int | None = None) -> Column:
     """Items of the skills section split on separators; without any, soft-skill phrases anywhere. Title case."""
     def items(a: Column) -> Column:
         lines = F.filter(a, lambda x: x["in_skills"] & (x["line"] != ""))
@@ -354,7 +358,7 @@ def section_skills(array: Column, text: Column) -> Column:
 
     phrases = F.filter(F.transform(F.split(F.lower(text), r"[\n,;/•|]+"), strip_space), lambda p: fold(p).isin(vocab.SECTION_SKILL_WORDS))
     chosen = let(let(array, items), lambda found: F.when(F.size(found) > 0, found).otherwise(phrases))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(chosen, title_case))), 1, 50)
+    return first_items(F.array_sort(F.array_distinct(F.transform(chosen, title_case))), limit)
 
 
 def skills(array: Column, text: Column) -> Column:
@@ -433,7 +437,7 @@ def best_entities(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     return entities.groupBy(key, "entity_type").agg(best.alias("_b")).select(key, "entity_type", "_b.*")
 
 
-def entities_to_profile(entities: DataFrame, key: str = "doc_id", floor: float = 0.60, limit: int = 10) -> DataFrame:
+def entities_to_profile(entities: DataFrame, key: str = "doc_id", floor: float = 0.60, limit: int | None = None) -> DataFrame:
     """Per document the first distinct words of the groups PER, ORG, LOC and MISC (every other group counts as MISC).
 
     Needs (key, pos, entity_group, word, score).
@@ -441,7 +445,7 @@ def entities_to_profile(entities: DataFrame, key: str = "doc_id", floor: float =
     group = F.when(F.col("entity_group").isin("PER", "ORG", "LOC"), F.col("entity_group")).otherwise("MISC")
     rows = entities.withColumns({"word": F.trim("word"), "_g": group}).filter((F.col("score") >= floor) & (F.col("word") != ""))
     first = rows.groupBy(key, "_g", "word").agg(F.min("pos").alias("pos"))
-    lists = {n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("_g") == g, F.struct("pos", "word")))), lambda s: s["word"]), 1, limit)
+    lists = {n: first_items(F.transform(F.array_sort(F.collect_list(F.when(F.col("_g") == g, F.struct("pos", "word")))), lambda s: s["word"]), limit)
              for n, g in (("persons", "PER"), ("companies", "ORG"), ("locations", "LOC"), ("job_titles", "MISC"))}
     return first.groupBy(key).agg(*[c.alias(n) for n, c in lists.items()], F.count(F.lit(1)).alias("total_entities")).withColumn(
         "full_name", F.get("persons", F.lit(0)))

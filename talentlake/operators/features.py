@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +62,32 @@ def tfidf_fit(docs: DataFrame, max_features: int = 20000, text: str = "text") ->
     return kept.withColumn("idf", F.log((1 + total) / (1 + F.col("doc_count"))) + 1)
 
 
-def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, weight) with unit length per document.
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, indices, weights): the unit TF-IDF vector of every document as a sparse row; indices count the terms in
+    alphabetical order. Map-only: the vocabulary has at most ``max_features`` rows and goes to every task."""
+    rows = vocabulary.select("term", "idf").orderBy("term").collect()
+    known = docs.sparkSession.sparkContext.broadcast(({r[0]: i for i, r in enumerate(rows)}, np.array([r[1] for r in rows], float)))
 
-    The texts are shuffled once by key; exploding, the vocabulary lookup (at most ``max_features`` rows), counting and
-    scaling all follow in that partitioning.
-    """
-    rows = docs.select(key, text).repartition(key).select(key, F.explode(terms(text)).alias("term"))
-    counted = rows.join(F.broadcast(vocabulary.select("term", "idf")), "term").groupBy(key, "term").agg(
-        (F.count(F.lit(1)) * F.max("idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return counted.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, idf = known.value
+        for batch in batches:
+            places, weights = [], []
+            for words in batch.column("_terms").to_pylist():
+                at, times = np.unique(np.array([i for i in map(index.get, words or ()) if i is not None], np.int32), return_counts=True)
+                w = times * idf[at] if len(at) else np.zeros(0)
+                places.append(at)
+                weights.append(w / np.sqrt((w * w).sum()) if len(at) else w)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=[key, "indices", "weights"])
+
+    return docs.select(key, terms(text).alias("_terms")).mapInArrow(count, f"{key} {docs.schema[key].dataType.simpleString()}, indices array<int>, weights array<double>")
+
+
+def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, weight) with unit length per document; no text is moved."""
+    names = vocabulary.agg(F.array_sort(F.collect_list("term"))).scalar()
+    vectors = tfidf_vectors(docs, vocabulary, key, text)
+    return vectors.select(key, F.inline(F.arrays_zip("indices", "weights"))).select(
+        key, F.get(names, F.col("indices")).alias("term"), F.col("weights").alias("weight"))
 
 
 def tfidf_cosine(pairs: DataFrame, cv_vectors: DataFrame, job_vectors: DataFrame) -> DataFrame:
@@ -154,7 +173,9 @@ def augment_pairs(candidates: DataFrame, pool: list[str], seed: int = 42) -> Dat
     return candidates.select("candidate_id", "skills", "cv_years", F.inline(jobs))
 
 
-def unlabelled_pairs(candidates: DataFrame, jobs: DataFrame, limit: int = 5000, max_jobs: int = 100) -> DataFrame:
+def unlabelled_pairs(
+    candidates: DataFrame, jobs: DataFrame, limit: int = 5000, max_jobs: int = 100, cv_chars: int | None = None, job_chars: int | None = None
+) -> DataFrame:
     """Pairs of the newest jobs with the newest candidates, in that order, label -1, at most ``limit``.
 
     The limit is part of the export. At most ``limit`` candidates and ``max_jobs`` jobs can take part, so both lists
@@ -166,9 +187,9 @@ def unlabelled_pairs(candidates: DataFrame, jobs: DataFrame, limit: int = 5000,
     newest_jobs = jobs.orderBy(F.desc("created_at"), F.asc("criteria_id")).limit(max_jobs)
     grid = newest_jobs.select("criteria_id", F.col("created_at").alias("_job_time"), F.posexplode(ids).alias("_pos", "candidate_id"))
     first = grid.orderBy(F.desc("_job_time"), F.asc("criteria_id"), F.asc("_pos")).limit(limit)
-    texts = candidates.select("candidate_id", flatten_text("raw_text", 10000).alias("cv_text"))
+    texts = candidates.select("candidate_id", flatten_text("raw_text", cv_chars).alias("cv_text"))
     work = newest_jobs.select("criteria_id", flatten_text(
-        F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))), 5000).alias("job_text"))
+        F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))), job_chars).alias("job_text"))
     return first.select("criteria_id", "candidate_id").join(texts, "candidate_id").join(F.broadcast(work), "criteria_id").withColumn("label", F.lit(-1))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contact import EMAIL_SHAPE, experience_years
 from ..functions.skillnames import normalize_skill_list, split_skills
-from ..functions.text import NON_SPACE, SPACE, as_column, capitalize, contains_any, ordered_distinct, strip_space
+from ..functions.text import NON_SPACE, SPACE, as_column, capitalize, contains_any, first_chars, first_items, ordered_distinct, strip_space
 
 EMPTY = "array<string>"
 
@@ -16,18 +16,18 @@ def _list(value: Column | str) -> Column:
     return F.coalesce(as_column(value), F.array().cast(EMPTY))
 
 
-def clean_emails(items: Column | str) -> Column:
+def clean_emails(items: Column | str, limit: int | None = None) -> Column:
     lowered = F.transform(_list(items), lambda e: F.lower(F.trim(e)))
-    return F.slice(F.array_distinct(F.filter(lowered, lambda e: e.rlike(EMAIL_SHAPE))), 1, 5)
+    return first_items(F.array_distinct(F.filter(lowered, lambda e: e.rlike(EMAIL_SHAPE))), limit)
 
 
-def clean_phones(items: Column | str) -> Column:
+def clean_phones(items: Column | str, limit: int | None = None) -> Column:
     def digits(p: Column) -> Column:
         return F.regexp_replace(p, r"\D", "")
 
     trimmed = F.transform(_list(items), lambda s: F.trim(s))
     valid = F.filter(trimmed, lambda p: F.length(digits(p)).between(10, 15))
-    return F.slice(ordered_distinct(valid, digits), 1, 3)
+    return first_items(ordered_distinct(valid, digits), limit)
 
 
 def clean_name(value: Column | str) -> Column:
@@ -39,7 +39,7 @@ def clean_name(value: Column | str) -> Column:
 
 
 def clean_list(
-    items: Column | str, min_len: int, max_len: int, limit: int, banned: list[str] | None = None, allow_years: bool = False
+    items: Column | str, min_len: int, max_len: int, limit: int | None = None, banned: list[str] | None = None, allow_years: bool = False
 ) -> Column:
     """Items within the length range, without addresses, banned words or (unless allowed) years; unique ignoring case."""
     normal = F.transform(_list(items), lambda s: F.trim(F.regexp_replace(s, SPACE + "+", " ")))
@@ -51,7 +51,7 @@ def clean_list(
             ok = ok & ~low.rlike(r"\b(19|20)\d{2}\b")
         return ok & ~contains_any(low, banned) if banned else ok
 
-    return F.slice(ordered_distinct(F.filter(normal, keep)), 1, limit)
+    return first_items(ordered_distinct(F.filter(normal, keep)), limit)
 
 
 # Limits per profile field as (min length, max length, items, banned words, years allowed).
@@ -68,9 +68,9 @@ FIELD_LIMITS = {
 }
 
 
-def postprocess_profiles(df: DataFrame) -> DataFrame:
-    """Clean every field of a profile table; needs full_name, emails, phones and the listed array columns."""
-    fields = {name: clean_list(name, lo, hi, cap, banned, years)
+def postprocess_profiles(df: DataFrame, cap_lists: bool = False) -> DataFrame:
+    """Clean every field of a profile table (with ``cap_lists``, the lists are cut to the items of FIELD_LIMITS); needs full_name, emails, phones and the listed array columns."""
+    fields = {name: clean_list(name, lo, hi, cap if cap_lists else None, banned, years)
               for name, (lo, hi, cap, banned, years) in FIELD_LIMITS.items()}
     return df.withColumns({
         "emails": clean_emails("emails"), "phones": clean_phones("phones"), "full_name": clean_name("full_name"), **fields,
@@ -258,9 +258,9 @@ def clean_candidates(df: DataFrame) -> DataFrame:
     })
 
 
-def valid_text(df: DataFrame, text: str = "text", limit: int = 5000) -> DataFrame:
-    """Texts of at least ten characters; ``stored_text`` holds the first characters that are kept in the record."""
-    return df.filter(F.length(strip_space(text)) >= 10).withColumn("stored_text", F.left(F.col(text), F.lit(limit)))
+def valid_text(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """Texts of at least ten characters; ``stored_text`` is what the record keeps (``limit`` characters at most)."""
+    return df.filter(F.length(strip_space(text)) >= 10).withColumn("stored_text", first_chars(F.col(text), limit))
 
 
 # Weights of the coverage report and its pass mark.
@@ -291,10 +291,11 @@ def coverage_summary(report: DataFrame) -> DataFrame:
                       (F.avg("score") >= PASS_MARK).alias("passed"))
 
 
-def diagnose_missing(df: DataFrame, key: str = "cv_id", text: str = "text") -> DataFrame:
-    """(key, field, reason) for every missing field of a profile; needs the profile columns and the text."""
+def diagnose_missing(df: DataFrame, key: str = "cv_id", text: str = "text", name_lines: int | None = None) -> DataFrame:
+    """(key, field, reason) for every missing field of a profile; needs the profile columns and the text. A name line is
+    looked for in the first ``name_lines`` lines, if given."""
     low = F.lower(F.col(text))
-    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != ""), 1, 5)
+    lines = first_items(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != ""), name_lines)
     name_line = F.exists(lines, lambda s: F.regexp_count(s, F.lit(r"[A-Za-zÀ-ÿ'\-]+")).between(2, 4) & ~s.rlike(r"[@\d]"))
     has = lambda c: _has(c, df)
     none = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonlist import json_list_text
-from ..functions.text import contains_any, normalize_text, round_dp
+from ..functions.text import contains_any, first_items, normalize_text, round_dp
 from ..plans.ranking import top_per_group
 from ..plans.skew import maybe_broadcast
 from .joins import contains_join
@@ -265,8 +265,8 @@ def top_snapshot(criteria: DataFrame, stored: DataFrame, fallback: DataFrame, k:
     return kept.unionByName(spare.filter(F.col("rank") <= k))
 
 
-def ingest_report(profiles: DataFrame) -> DataFrame:
+def ingest_report(profiles: DataFrame, top_skills: int | None = None) -> DataFrame:
     """One row per ingested document: counts, quality and the first skills, titles and companies."""
     return profiles.select(
         "cv_id", "full_name", "email", F.size("skills").alias("skills_count"), "quality_pct", "is_fully_extracted",
-        F.slice("skills", 1, 5).alias("top_skills"), "job_titles", "companies")
+        first_items(F.col("skills"), top_skills).alias("top_skills"), "job_titles", "companies")

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 
-MAX_BYTES = 5 << 20
 PAIR_SCHEMA = ("source string, cv_id string, job_id string, candidate_name string, job_title string, cv_text string, "
                "job_text string, label string, heuristic_score double")
 
 
-def read_cv_text(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, n_bytes, text) of the text files of a folder; larger files are skipped without being read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= max_bytes).select(
+def _text_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+
+
+def refused_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """(path, n_bytes) of the text files that ``read_cv_text`` leaves out under this bound; none of them is read."""
+    return _text_files(spark, path).filter(F.col("length") > max_bytes).select("path", F.col("length").alias("n_bytes"))
+
+
+def read_cv_text(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, n_bytes, text) of the text files of a folder; with ``max_bytes``, files above it are left to ``refused_files``."""
+    files = _text_files(spark, path)
+    return (files if max_bytes is None else files.filter(F.col("length") <= max_bytes)).select(
         "path", F.col("length").alias("n_bytes"), F.decode("content", "UTF-8").alias("text"))
 
 

@@ -11,15 +11,14 @@ from ..functions.skillnames import tech_skills
 from ..functions.text import normalize_layout
 from ..operators.matching import weighted_cosine
 from ..operators.quality import fingerprint
-from ..sources.readers import MAX_BYTES
 
 
-def stream_ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, files_per_trigger: int = 1000) -> DataFrame:
+def stream_ingest(spark: SparkSession, path: str, max_bytes: int | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """New text files of a folder with their extraction columns."""
     schema = spark.read.format("binaryFile").load(path).schema
     files = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.txt")
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path))
-    texts = files.filter(F.col("length") <= max_bytes).select(
+    texts = (files if max_bytes is None else files.filter(F.col("length") <= max_bytes)).select(
         "path", F.col("modificationTime").alias("arrived_at"), normalize_layout(F.decode("content", "UTF-8")).alias("text"))
     return texts.withColumns({"emails": emails("text"), "phones": phones("text"), "skills": tech_skills("text"),
                               "experience_years": experience_years("text")})
