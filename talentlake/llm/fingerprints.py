@@ -92,7 +92,7 @@ def fingerprint(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint, distinct_shingles of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 19):
             own = sketches([t or "" for t in batch.column("text").to_pylist()], k, words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([as_text(a) for a in own]), pa.array([distinct(a, k) for a in own])],
@@ -106,8 +106,8 @@ def merge_by(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     """Sketch (array of unsigned hashes as decimals) of each group of fingerprints; a group is cut to its k smallest
     hashes in every task before anything is moved."""
     raw = F.unbase64("fingerprint")
-    places = F.sequence(F.lit(0), F.length(raw).cast("int") / 8 - 1)
-    hashes = F.when(F.length(raw) > 0, F.transform(places.cast("array<int>"), lambda i: F.substring(raw, i * 8 + 1, F.lit(8))))
+    places = F.sequence(F.lit(0), F.floor(F.length(raw) / 8).cast("int") - 1)
+    hashes = F.when(F.length(raw) > 0, F.transform(places, lambda i: F.substring(raw, i * 8 + 1, F.lit(8))))
     rows = prints.select(key, F.explode(hashes).alias("_hash")).distinct()
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_hash"))).filter(F.col("_rank") <= k)
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.conv(F.hex("_hash"), 16, 10).cast("decimal(20,0)"))).alias("sketch"))
@@ -149,7 +149,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS, buckets:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         """(doc_id, text, next text) in order, some MB at a time."""
         last, out = None, []
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 19):
             for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "text")]):
                 if last is not None and row[0] == last[0]:
                     out.append((last[2], last[3], row[3]))
