@@ -217,7 +217,7 @@ def _(t):
     return scored_pairs(t).select("criteria_id", "candidate_id", round_dp(F.col("similarity"), 4).alias("similarity"), "score_pct")
 
 
-def _plain_scored(universe_filter: str, size: str) -> str:
+def _plain_scored() -> str:
     return f"""
     SELECT h.criteria_id, h.candidate_id, {rnd('h.dot / (sqrt(u.n) * sqrt(t.square)) * 100', 4)} AS score_pct,
            {rnd('h.n * 100.0 / t.n', 4)} AS matching_pct
@@ -227,14 +227,14 @@ def _plain_scored(universe_filter: str, size: str) -> str:
     JOIN (SELECT candidate_id, count(*) AS n FROM {{candidate_skills}} GROUP BY 1) u USING (candidate_id)"""
 
 
-@query("m03_cosine_scorer", _plain_scored("", ""))
+@query("m03_cosine_scorer", _plain_scored())
 def _(t):
     scored = mt.cosine_scorer(t.candidate_skills, t.criteria_skills, t.skills)
     return scored.select("criteria_id", "candidate_id", round_dp(F.col("score_pct"), 4).alias("score_pct"),
                          round_dp(F.col("matching_pct"), 4).alias("matching_pct"))
 
 
-@query("m04_pair_cosine", _plain_scored("", ""))
+@query("m04_pair_cosine", _plain_scored())
 def _(t):
     scored = mt.pair_cosine(t.candidate_skills, t.criteria_skills)
     return scored.select("criteria_id", "candidate_id", round_dp(F.col("score_pct"), 4).alias("score_pct"),
@@ -415,11 +415,16 @@ def _(t):
 @query("m16_rank_top_10", """
     SELECT criteria_id, candidate_id, full_name, score_pct, coverage_pct, matched, rank,
            CASE WHEN score_pct >= 80 THEN 'accepted' WHEN score_pct >= 50 THEN 'to_review' ELSE 'rejected' END AS decision
-    FROM {ranked} WHERE rank <= 10""", SCORED)
+    FROM {ranked_fully} WHERE rank <= 10""", {**SCORED, "ranked_fully": """
+    SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, created_at DESC, candidate_id) AS rank
+    FROM (SELECT j.criteria_id, e.candidate_id, e.full_name, e.created_at, coalesce(s.score_pct, 0) AS score_pct,
+                 coalesce(s.coverage_pct, 0) AS coverage_pct, coalesce(s.matched, '') AS matched
+          FROM (SELECT criteria_id FROM {job_criteria}) j CROSS JOIN {eligible} e
+          LEFT JOIN {scored} s ON s.criteria_id = j.criteria_id AND s.candidate_id = e.candidate_id)"""})
 def flagship(t):
     from ..operators.decisions import decide
 
-    top = mt.rank_top(scored_pairs(t, eligible_skills(t)), t.candidates, 10)
+    top = mt.rank_top(scored_pairs(t, eligible_skills(t)), ql.matchable(t.candidates), 10, t.job_criteria)
     return top.select("criteria_id", "candidate_id", "full_name", "score_pct", "coverage_pct",
                       F.array_join("matched_skills", ", ").alias("matched"), "rank", decide(F.col("score_pct") / 100).alias("decision"))
 

@@ -41,10 +41,6 @@ def is_company_line(line: Column, norm: Column) -> Column:
     return ~contains_any(norm, vocab.NOT_COMPANY_WORDS) & line.rlike(COMPANY_SHAPE)
 
 
-def word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, SPACE + "+"), lambda w: w != ""))
-
-
 def is_title_line(line: Column, norm: Column) -> Column:
     words = F.filter(F.split(line, SPACE + "+"), lambda w: w != "")
     shape = (contains_any(norm, vocab.JOB_WORDS)

@@ -173,11 +173,6 @@ def nearest_join(queries: DataFrame, corpus: DataFrame, threshold: float, **name
     return top_k_similar(queries, corpus, 1, **names).filter(F.col("similarity") >= threshold).drop("rank")
 
 
-def newest(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """First k rows of an order (a distributed top-k)."""
-    return df.orderBy(*order).limit(k)
-
-
 def best_per_owner(
     queries: DataFrame, corpus: DataFrame, owner: str, threshold: float, block_rows: int = 65536, query_block: int = 4096
 ) -> DataFrame:

@@ -9,7 +9,6 @@ from ..functions.jsonlist import json_list_text
 from ..functions.text import contains_any, first_items, normalize_text, round_dp
 from ..plans.ranking import top_per_group
 from ..plans.skew import maybe_broadcast
-from .joins import contains_join
 from .matching import clamp_weight
 
 
@@ -227,11 +226,6 @@ def resolve_candidate(messages: DataFrame, top: DataFrame) -> DataFrame:
         "message_id", "_b.candidate_id", "_b.full_name", F.element_at(F.array(*[F.lit(x) for x in ("name", "words", "first")]), F.col("_b._p") + 1).alias("basis"))
 
 
-def mentioned_skills(messages: DataFrame, skills: DataFrame) -> DataFrame:
-    """Every skill a message mentions (see ``joins.contains_join``)."""
-    return contains_join(messages, skills, "text", "name")
-
-
 def to_percent(score: Column) -> Column:
     value = F.coalesce(score.cast("double"), F.lit(0.0))
     return round_dp(F.when(value <= 1.0, value * 100).otherwise(value), 2)

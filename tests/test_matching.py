@@ -137,3 +137,17 @@ def test_dedupe_is_idempotent(spark):
     again = ql.dedupe_candidates(once.drop("fingerprint"), "id", [])
     assert sorted(r.id for r in again.collect()) == [1, 3]
     assert all(len(r.fingerprint) == 32 for r in once.collect())
+
+
+def test_ranking_is_filled_with_the_newest(spark):
+    scored = spark.createDataFrame([(1, 5, 80.0, 40.0), (1, 6, 0.0, 10.0), (2, 7, 20.0, 5.0)], "criteria_id long, candidate_id long, score_pct double, coverage_pct double")
+    people = spark.createDataFrame([(i, f"2024-01-{i:02d}", f"p{i}") for i in range(1, 10)], "candidate_id long, day string, full_name string").selectExpr(
+        "candidate_id", "cast(day AS timestamp) AS created_at", "full_name")
+    criteria = spark.createDataFrame([(1,), (2,), (3,)], "criteria_id long")
+    got = mt.rank_top(scored, people, 4, criteria).orderBy("criteria_id", "rank").collect()
+    assert [(r.criteria_id, r.rank, r.candidate_id, r.score_pct, r.coverage_pct) for r in got] == [
+        (1, 1, 5, 80.0, 40.0), (1, 2, 9, 0.0, 0.0), (1, 3, 8, 0.0, 0.0), (1, 4, 7, 0.0, 0.0),
+        (2, 1, 7, 20.0, 5.0), (2, 2, 9, 0.0, 0.0), (2, 3, 8, 0.0, 0.0), (2, 4, 6, 0.0, 0.0),
+        (3, 1, 9, 0.0, 0.0), (3, 2, 8, 0.0, 0.0), (3, 3, 7, 0.0, 0.0), (3, 4, 6, 0.0, 0.0)]
+    wide = mt.rank_top(scored, people, 8, criteria).filter("criteria_id = 1 AND candidate_id = 6").first()
+    assert (wide.rank, wide.coverage_pct) == (5, 10.0)
