@@ -124,9 +124,43 @@ def shortlist(favorites: DataFrame, candidates: DataFrame) -> DataFrame:
     return favorites.select(F.col("id").alias("favorite_id"), "recruiter_id", "candidate_id").join(shown, "candidate_id")
 
 
+# Rows of a block of the similarity search: the product of two blocks takes 64 MB.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
+
+
+def block_cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosines of two blocks of vectors, rounded and clipped in place."""
+    sims = unit_rows(a) @ unit_rows(b).T
+    np.round(sims, 6, out=sims)
+    return np.clip(sims, 0.0, 1.0, out=sims)
+
+
+def first_per_row(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest values of each row, ties by column: a partial selection finds the k-th value, and
+    only what reaches it is ordered."""
+    k = min(k, sims.shape[1])
+    rows, cols = [], []
+    for at in range(0, len(sims), 64):
+        part = sims[at : at + 64]
+        least = -np.partition(-part, k - 1, axis=1)[:, k - 1]
+        r, c = np.nonzero(part >= least[:, None])
+        order = np.lexsort((c, -part[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        rows.append(r[place < k] + at)
+        cols.append(c[place < k])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def top_k_similar(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id",
-    vector: str = "vector", query_block: int = 4096, corpus_block: int = 65536,
+    vector: str = "vector", query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """The k corpus items of highest cosine per query, clipped to 0-1, ties by item id. Exact.
 
@@ -148,19 +182,12 @@ def top_k_similar(
         *StructType.fromDDL("similarity double").fields,
     ])
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.array(vectors.tolist(), dtype=np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1.0, n)
-
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({query_id: [], item_id: [], "similarity": []})
         b = b.sort_values("_iid").reset_index(drop=True)
-        sims = np.clip(np.round(unit(a["_v"]) @ unit(b["_v"]).T, 6), 0.0, 1.0)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        cols = order.ravel()
+        sims = block_cosines(a["_v"], b["_v"])
+        rows, cols = first_per_row(sims, k)
         return pd.DataFrame({query_id: a["_qid"].to_numpy()[rows], item_id: b["_iid"].to_numpy()[cols],
                              "similarity": sims[rows, cols]})
 
@@ -174,7 +201,7 @@ def nearest_join(queries: DataFrame, corpus: DataFrame, threshold: float, **name
 
 
 def best_per_owner(
-    queries: DataFrame, corpus: DataFrame, owner: str, threshold: float, block_rows: int = 65536, query_block: int = 4096
+    queries: DataFrame, corpus: DataFrame, owner: str, threshold: float, block_rows: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Best similarity of every (query, owner of corpus items) that reaches the threshold.
 
@@ -196,13 +223,8 @@ def best_per_owner(
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], owner: [], "similarity": []})
 
-        def unit(vectors: pd.Series) -> np.ndarray:
-            m = np.array(vectors.tolist(), dtype=np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(n == 0, 1.0, n)
-
         b = b.sort_values(owner, kind="stable").reset_index(drop=True)
-        sims = np.clip(np.round(unit(a["_v"]) @ unit(b["_v"]).T, 6), 0.0, 1.0)
+        sims = block_cosines(a["_v"], b["_v"])
         owners, starts = np.unique(b[owner].to_numpy(), return_index=True)
         best = np.maximum.reduceat(sims, starts, axis=1)
         rows, cols = np.nonzero(best >= threshold)

@@ -151,3 +151,13 @@ def test_ranking_is_filled_with_the_newest(spark):
         (3, 1, 9, 0.0, 0.0), (3, 2, 8, 0.0, 0.0), (3, 3, 7, 0.0, 0.0), (3, 4, 6, 0.0, 0.0)]
     wide = mt.rank_top(scored, people, 8, criteria).filter("criteria_id = 1 AND candidate_id = 6").first()
     assert (wide.rank, wide.coverage_pct) == (5, 10.0)
+
+
+def test_partial_selection_equals_full_sort():
+    r = np.random.default_rng(0)
+    sims = np.round(r.random((150, 40)), 1)
+    sims[3] = 0.0
+    for k in (1, 5, 40, 60):
+        rows, cols = jn.first_per_row(sims, k)
+        want = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        assert (rows == np.repeat(np.arange(150), want.shape[1])).all() and (cols == want.ravel()).all()
