@@ -32,6 +32,20 @@ def read_tables(spark: SparkSession, path: str, columns: dict[str, list[str]]) -
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet").select(*wanted) for name, wanted in columns.items()}
 
 
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 32, columns: list[str] | None = None, **options: str
+) -> DataFrame:
+    """A database table. With a numeric ``key`` its range is read in ``partitions`` parallel queries; the bounds come from one
+    query for the smallest and largest key, and rows outside them or without a key are read all the same."""
+    base = spark.read.format("jdbc").option("url", url).options(**options)
+    if key is not None:
+        bounds = spark.read.format("jdbc").option("url", url).options(**options).option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}").load().first()
+        if bounds[0] is not None and bounds[0] < bounds[1]:
+            base = base.option("partitionColumn", key).option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1])).option("numPartitions", str(partitions))
+    rows = base.option("dbtable", table).load()
+    return rows.select(*columns) if columns else rows
+
+
 def label_of(value: Column) -> Column:
     """1 or 0 from numbers, booleans and words."""
     word = F.lower(F.trim(value))
