@@ -3,7 +3,8 @@
 Windows of 50 bytes that are equal meet in one bucket (see ``windows``), where the distinct segments form a collection of
 strings. Its Burrows-Wheeler transform is built column by column: every round inserts one symbol of each string, walking
 from its end, and updates the transform and the common prefixes, both kept in files that are read and written once from
-front to back. Neighbours whose common prefix reaches 50 are equal windows; the smallest doc_id of each such
+front to back. A symbol is a block of four bytes and a segment enters four times, shifted by one byte each, which gives
+the same order of all suffixes in a quarter of the rounds. Neighbours whose common prefix reaches 50 are equal windows; the smallest doc_id of each such
 group is the document that keeps the string.
 
 Defined results: a null text is empty; texts under 50 bytes and strings repeated inside one document stay; repeated
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,84 +23,158 @@ from pyspark.sql import DataFrame
 from .windows import BYTES, Text, mark_repeats
 
 
+PACK = 4  # bytes of a symbol
+
+
 class Columns:
-    """Strings as a matrix aligned at their ends; column j holds the j-th symbol from the end, 0 past the start."""
+    """Strings of blocks aligned at their ends; column j holds the number of the j-th block from the end, 0 past the start.
+
+    A block is ``PACK`` bytes (zeros fill the last one) and the symbol of the transform, so a string enters once for each
+    of its first ``PACK`` places. Numbers follow the order of the blocks and fit 16 bits unless a bucket has more blocks.
+    """
 
     def __init__(self, strings: list[bytes]):
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        longest = int(self.lengths.max())
-        rows = np.frombuffer(b"".join(s[::-1].ljust(longest, b"\0") for s in strings), np.uint8).reshape(len(strings), longest)
-        self.symbols = (rows.T.astype(np.uint16) + 1) * (np.arange(longest)[:, None] < self.lengths[None, :])
+        lengths = np.array([len(s) for s in strings], np.int64)
+        longest = int(lengths.max()) + 2 * PACK
+        raw = np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in strings), np.uint8).reshape(len(strings), longest)
+        self.owner = np.repeat(np.arange(len(strings)), PACK)
+        self.shift = np.tile(np.arange(PACK), len(strings))
+        self.lengths = np.maximum(-(-(lengths[self.owner] - self.shift) // PACK), 0)  # in blocks
+        width = int(self.lengths.max())
+        blocks = np.empty((len(strings), PACK, width), np.uint32)
+        for a in range(PACK):
+            blocks[:, a] = np.ascontiguousarray(raw[:, a : a + width * PACK]).view(">u4")
+        blocks = blocks.reshape(len(self.owner), width)
+        column = self.lengths[:, None] - 1 - np.arange(width)[None, :]
+        inside = column >= 0
+        flat = blocks[np.arange(len(self.owner))[:, None], np.maximum(column, 0)]
+        self.blocks, number = np.unique(flat[inside], return_inverse=True)
+        self.symbols = np.zeros((width, len(self.owner)), np.uint16 if len(self.blocks) < 65535 else np.uint32)
+        self.symbols.T[inside] = number + 1
 
     def column(self, j: int) -> np.ndarray:
-        return self.symbols[j] if j < len(self.symbols) else np.zeros(len(self.lengths), np.uint16)
+        return self.symbols[j] if j < len(self.symbols) else np.zeros(len(self.owner), self.symbols.dtype)
 
+    def common_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Leading bytes that two different blocks share."""
+        x = self.blocks[a.astype(np.int64) - 1] ^ self.blocks[b.astype(np.int64) - 1]
+        return ((x < 1 << 24).astype(np.uint8) + (x < 1 << 16) + (x < 1 << 8)).astype(np.uint8)
 
-def range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """min(values[start:stop]) of every non-empty range."""
-    level = np.frexp((stop - start).astype(np.float64))[1] - 1
+
+def range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray, block: int = 64) -> np.ndarray:
+    """min(values[start:stop]) of every non-empty range. Tables of doubled ranges cover up to a block; a longer range is its
+    first and last block and, between them, whole blocks."""
+    if len(values) < 2 * block:
+        values = np.concatenate([values, np.full(2 * block - len(values), np.iinfo(values.dtype).max, values.dtype)])
     out = np.empty(len(start), values.dtype)
-    table, k = values, 0
-    for want in range(int(level.max()) + 1 if len(level) else 0):
-        while k < want:
-            table, k = np.minimum(table[: -(1 << k)], table[1 << k :]), k + 1
-        now = level == want
-        out[now] = np.minimum(table[start[now]], table[stop[now] - (1 << want)])
+    level = np.frexp(np.minimum(stop - start, block).astype(np.float32))[1] - 1
+    table = values
+    for k in range(block.bit_length()):
+        now = np.flatnonzero(level == k)
+        if len(now):
+            out[now] = np.minimum(table[start[now]], table[stop[now] - (1 << k)])
+        if 2 << k <= block:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    long = np.flatnonzero(stop - start > block)
+    if len(long):
+        first, last = -(-start[long] // block), stop[long] // block
+        inner = last > first
+        whole = values[: len(values) // block * block].reshape(-1, block).min(1)
+        some = long[inner]
+        out[some] = np.minimum(out[some], sparse_minima(whole, first[inner], last[inner]))
+    return out
+
+
+def sparse_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    level = np.frexp((stop - start).astype(np.float64))[1] - 1
+    out, table = np.empty(len(start), values.dtype), values
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        now = level == k
+        out[now] = np.minimum(table[start[now]], table[stop[now] - (1 << k)])
+        if k < level.max():
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
     return out
 
 
-def suffix_order(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of the collection (symbol + 1, 0 at a string's start) and the common prefix, up to
-    ``cap``, of each suffix with the one before it. The empty suffixes come first, in the order of the strings."""
-    columns, n = Columns(strings), len(strings)
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = Path(folder, "bwt"), Path(folder, "lcp")
-        columns.column(0).tofile(bwt)
-        np.zeros(n, np.uint8).tofile(lcp)
-        place = np.arange(n)  # where the newest suffix of each string stands
-        active = np.arange(n)
-        for j in range(1, int(columns.lengths.max()) + 1):
-            symbols, common = np.fromfile(bwt, np.uint16), np.fromfile(lcp, np.uint8)
-            active = active[columns.lengths[active] >= j]
-            # Suffixes led by a symbol stand in the order of that symbol in the transform.
-            order = np.argsort(symbols, kind="stable")[np.count_nonzero(symbols == 0) :]
-            rank = np.empty(len(symbols), np.int64)
-            rank[order] = np.arange(len(order))
-            fresh = rank[place[active]]
-            # New common prefixes: of each new suffix with the one before it, and of the one behind it.
-            touched = np.unique(np.concatenate([fresh, fresh[fresh + 1 < len(order)] + 1]))
-            before = np.maximum(touched - 1, 0)
-            linked = (touched > 0) & (symbols[order[before]] == symbols[order[touched]])
-            value = np.zeros(len(touched), np.uint8)
-            value[linked] = np.minimum(range_minima(common, order[before[linked]] + 1, order[touched[linked]] + 1) + 1, cap)
-            new = np.zeros(n + len(order), bool)
-            new[n + fresh] = True
-            merged, shared = np.empty(len(new), np.uint16), np.empty(len(new), np.uint8)
-            merged[~new], shared[~new] = symbols, common
-            place[active] = n + fresh
-            merged[place[active]] = columns.column(j)[active]
-            shared[n + touched] = value
-            merged.tofile(bwt)
-            shared.tofile(lcp)
-        return np.fromfile(bwt, np.uint16), np.fromfile(lcp, np.uint8)
+class Column:
+    """An array in a file that is written and read from front to back; it stays in memory up to a bound."""
+
+    def __init__(self, kind: np.dtype, bound: int = 16 << 20):
+        self.file, self.kind = tempfile.SpooledTemporaryFile(bound), kind
+
+    def write(self, values: np.ndarray) -> None:
+        self.file.seek(0)
+        self.file.write(memoryview(np.ascontiguousarray(values)).cast("B"))
+        self.file.truncate()
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(), self.kind)
+
+
+def suffix_order(columns: Columns, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of the collection (block numbers, 0 at a string's start) and the common prefix in bytes,
+    up to ``cap``, of each suffix with the one before it. The empty suffixes come first, in the order of the strings."""
+    n, kind = len(columns.owner), columns.symbols.dtype
+    bwt, lcp = Column(kind), Column(np.dtype(np.uint8))
+    bwt.write(columns.column(0))
+    lcp.write(np.zeros(n, np.uint8))
+    place = np.arange(n)  # where the newest suffix of each string stands
+    active = np.arange(n)
+    for j in range(1, int(columns.lengths.max()) + 1):
+        symbols, common = bwt.read(), lcp.read()
+        active = active[columns.lengths[active] >= j]
+        order, rank = led(symbols)
+        fresh = rank[place[active]]
+        # New common prefixes: of each new suffix with the one before it, and of the one behind it.
+        touched = np.zeros(len(order) + 1, bool)
+        touched[fresh] = True
+        touched[fresh + 1] = True
+        touched[0] = touched[-1] = False  # nothing but the empty suffixes stands before the first
+        touched = np.flatnonzero(touched)
+        before, after = order[touched - 1], order[touched]
+        same = symbols[before] == symbols[after]
+        value = np.empty(len(touched), np.uint8)
+        value[same] = np.minimum(range_minima(common, before[same] + 1, after[same] + 1) + PACK, cap)
+        value[~same] = columns.common_bytes(symbols[before[~same]], symbols[after[~same]])
+        place[active] = n + fresh
+        old = np.ones(n + len(order), bool)
+        old[place[active]] = False
+        merged, shared = np.zeros(len(old), kind), np.zeros(len(old), np.uint8)
+        merged[old], shared[old] = symbols, common
+        merged[place[active]] = columns.column(j)[active]
+        if len(order):
+            shared[n] = 0
+        shared[n + touched] = value
+        bwt.write(merged)
+        lcp.write(shared)
+    return bwt.read(), lcp.read()
+
+
+def led(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes led by a symbol stand in the order of that symbol in the transform: that order, and each one's rank."""
+    order = np.argsort(symbols, kind="stable")[np.count_nonzero(symbols == 0) :].astype(np.int32)
+    rank = np.empty(len(symbols), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank
 
 
 def first_documents(strings: list[bytes], first: np.ndarray, window: int = BYTES.window) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs (string, first window, last window, document): the smallest document of each window of the strings."""
-    symbols, common = suffix_order(strings, window)
-    n = len(strings)
-    lengths = np.array([len(s) for s in strings], np.int64)
-    order = np.argsort(symbols, kind="stable")[np.count_nonzero(symbols == 0) :]
-    rank = np.empty(len(symbols), np.int64)
-    rank[order] = np.arange(len(order))
+    columns = Columns(strings)
+    symbols, common = suffix_order(columns, window)
+    n = len(columns.owner)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    _, rank = led(symbols)
     owner, start = np.full(len(symbols), -1, np.int64), np.zeros(len(symbols), np.int64)
     place, active = np.arange(n), np.arange(n)
-    for j in range(1, int(lengths.max()) + 1):
-        active = active[lengths[active] >= j]
+    for j in range(1, int(columns.lengths.max()) + 1):
+        active = active[columns.lengths[active] >= j]
         place[active] = n + rank[place[active]]
-        if j >= window:
-            owner[place[active]] = active
-            start[place[active]] = lengths[active] - j
+        at = columns.shift[active] + PACK * (columns.lengths[active] - j)
+        whole = at + window <= sizes[columns.owner[active]]
+        owner[place[active[whole]]] = columns.owner[active[whole]]
+        start[place[active[whole]]] = at[whole]
     whole = np.flatnonzero(owner >= 0)
     group = np.cumsum(common < window)[whole]
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))

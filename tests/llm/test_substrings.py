@@ -96,13 +96,15 @@ def test_very_long_text(spark):
 
 def test_suffix_order_is_sorted():
     r = random.Random(8)
-    strings = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 30))) for _ in range(60)]
-    symbols, common = suffix_dedup.suffix_order(strings, 12)
-    # Suffixes end in a mark of their own string: ties stand in the order of the strings.
-    suffixes = sorted((s[k:], i, s[k - 1] + 1 if k else 0) for i, s in enumerate(strings) for k in range(len(s) + 1))
-    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert sorted(symbols.tolist()) == sorted(x[2] for x in suffixes)
-    assert common.tolist() == [0, *[min(12, shared(a[0], b[0])) for a, b in zip(suffixes, suffixes[1:])]]
+    for alphabet in (b"ab", b"\x00a", bytes(range(256))):
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 30))) for _ in range(60)]
+        symbols, common = suffix_dedup.suffix_order(suffix_dedup.Columns(strings), 12)
+        shifted = [s[a:] + b"\0" * (-len(s[a:]) % 4) for s in strings for a in range(4)]
+        # Suffixes of whole blocks; a shorter one stands before, and ties in the order of the strings.
+        suffixes = sorted(([s[i : i + 4] for i in range(k, len(s), 4)], n) for n, s in enumerate(shifted) for k in range(0, len(s) + 1, 4))
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(b"".join(a), b"".join(b))) if x != y), min(len(b"".join(a)), len(b"".join(b))))
+        assert len(symbols) == len(suffixes)
+        assert common.tolist() == [0, *[min(12, shared(a[0], b[0])) for a, b in zip(suffixes, suffixes[1:])]]
 
 
 def test_broadcast_reference(spark):
