@@ -37,3 +37,13 @@ def test_entry_points():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and entry.FLAGSHIP in names and len(names) > 180
+
+
+def test_entry_points_without_the_optional_package():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = ("import sys; sys.modules['talentlake.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
+            "assert len(e.queries()) > 180 and not any(k.startswith('op') or k == 'pipeline' for k in {**e.queries(), **e.oracle_sql()})")
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
