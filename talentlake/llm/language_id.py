@@ -43,13 +43,16 @@ class ByteCnn:
 
 def training_windows(docs: DataFrame, per_language: int, windows: int) -> DataFrame:
     """Up to ``windows`` windows of at most ``per_language`` texts a language (those with the smallest hash of doc_id)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.encode("text", "UTF-8").alias("raw"))
-    chosen = chosen.select("doc_id", "lang", F.array(*[
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)).alias("_part"))
+    # The choice is made on ids alone: first in parts of a language, then among at most 64 times the bound.
+    for group in (["lang", "_part"], ["lang"]):
+        known = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_rank") <= per_language)
+    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw")).join(F.broadcast(known.select("doc_id", "lang").distinct()), "doc_id")
+    windows_of = F.array(*[
         F.substring("raw", (F.greatest(F.length("raw") - WINDOW, F.lit(0)) * k / max(windows - 1, 1)).cast("int") + 1, F.lit(WINDOW))
-        for k in range(windows)]).alias("windows"))
-    ranked = chosen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    return ranked.select("doc_id", "lang", F.explode(F.array_distinct("windows")).alias("window"))
+        for k in range(windows)])
+    return raw.select("doc_id", "lang", F.explode(F.array_distinct(windows_of)).alias("window")).filter(F.col("window").isNotNull())
 
 
 def window_matrix(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
