@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -32,7 +33,8 @@ LAST = np.iinfo(np.int64).max
 MAX_FILTER_BITS = 1 << 30
 GROUP = 5  # windows of a hot key that travel together
 SLICE = 4 << 20
-BLOCK = 1 << 18  # symbols handled at once
+BLOCK = 1 << 16  # symbols handled at once
+FINE = 8  # parts of a bucket that are indexed one after the other
 LEAST_HOT = 1000  # occurrences below which a key is never hot
 
 
@@ -224,7 +226,7 @@ class Segments:
         keep = known.repeated(key)
         at, count, key, doc = at[keep], count[keep], key[keep], doc[keep]
         hot = known.is_hot(key)
-        bucket = scaled(mix(key), buckets)
+        bucket = scaled(mix(key), FINE * buckets)
         if hot.any():
             finer = [self.split(a, c, k, d, buckets) for a, c, k, d in zip(at[hot], count[hot], key[hot], doc[hot])]
             extra = np.concatenate(finer) if finer else np.zeros((0, 4), np.int64)
@@ -255,12 +257,12 @@ class Segments:
         for a, n in zip(new, np.diff(np.concatenate([new, [count]]))):
             core = int(place[a] - GROUP * group[a])
             h = xxh64_intdigest(self.text.content(core, core - GROUP + 1 + unit.window), int(group[a]))
-            out.append((at + a, n, doc, h % buckets))
+            out.append((at + a, n, doc, h % (FINE * buckets)))
         return np.array(out, np.int64).reshape(-1, 4)
 
     def edges(self, buckets: int) -> np.ndarray:
         """Segments of bucket b are edges[b] to edges[b + 1]."""
-        return np.searchsorted(self.buckets, np.arange(buckets + 1))
+        return np.searchsorted(self.buckets, FINE * np.arange(buckets + 1))
 
 
 Engine = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -282,7 +284,8 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
     every window as runs (segment, first window, last window, document)."""
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    buckets = chunks = 4 * partitions
+    # Segments of bytes are many and short: fewer chunks and buckets keep the messages between them large.
+    chunks = buckets = (4 if unit.words else 2) * partitions
     known = spark.sparkContext.broadcast(key_filter(docs.select("text"), unit, buckets))
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(partitions, "_chunk")
     window = unit.window
@@ -297,23 +300,33 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
         full = np.flatnonzero(np.diff(edges))
         parts = [slice(edges[b], edges[b + 1]) for b in full]
         lengths = np.array([len(c) for c in own.contents], np.uint32)
+        packer = zstandard.ZstdCompressor(level=1)
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()),
-            "lengths": pa.array([lengths[p].tobytes() for p in parts], pa.binary()), "body": pa.array([b"".join(own.contents[p]) for p in parts], pa.binary()),
+            "lengths": pa.array([lengths[p].tobytes() for p in parts], pa.binary()), "body": pa.array([packer.compress(b"".join(own.contents[p])) for p in parts], pa.binary()),
+            "fine": pa.array([(own.buckets[p] % FINE).astype(np.uint8).tobytes() for p in parts], pa.binary()),
             "first": pa.array([own.first[p].tobytes() for p in parts], pa.binary()), "several": pa.array([own.several[p].tobytes() for p in parts], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
+        seen: dict[tuple[int, bytes], int] = {}
         numbers, firsts, several = [], [], []
         for row in table.to_pylist():
             ends = np.cumsum(np.frombuffer(row["lengths"], np.uint32)).tolist()
-            body = row["body"]
-            numbers.append(np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends)], np.int64))
+            body = zstandard.ZstdDecompressor().decompress(row["body"])
+            numbers.append(np.array([seen.setdefault((f, body[a:b]), len(seen)) for f, a, b in zip(row["fine"], [0, *ends[:-1]], ends)], np.int64))
             firsts.append(np.frombuffer(row["first"], np.int64))
             several.append(np.frombuffer(row["several"], np.uint8))
         first = np.full(len(seen), LAST)
         np.minimum.at(first, np.concatenate(numbers), np.concatenate(firsts))
-        segment, a, b, doc = engine(list(seen), first)
+        part = np.array([f for f, _ in seen])
+        found = []
+        for f in np.unique(part):  # windows of different parts are never equal
+            own = np.flatnonzero(part == f)
+            segment, *runs = engine([c for k, c in seen if k == f], first[own])
+            found.append((own[segment], *runs))
+        segment, a, b, doc = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(segment, kind="stable")
+        segment, a, b, doc = segment[order], a[order], b[order], doc[order]
         edges = np.searchsorted(segment, np.arange(len(seen) + 1))
         out = []
         for number, own_first, own_several in zip(numbers, firsts, several):
@@ -348,6 +361,6 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
             np.add.at(step, own.at[place] + b[reply] + window, -1)
         return pa.Table.from_batches([finish(own.text, np.cumsum(step[:-1]) > 0, table)])
 
-    sent = dealt.groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, lengths binary, body binary, first binary, several binary")
+    sent = dealt.groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, lengths binary, body binary, fine binary, first binary, several binary")
     replies = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, segment binary, a binary, b binary, doc binary")
     return dealt.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(close, schema)
