@@ -207,23 +207,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fp, text_hash, component (its smallest fingerprint) and component_id (its smallest doc_id) of every row."""
-    prints = stored(fingerprints(docs), "simhash")
+def grouped(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds to ``prints`` (doc_id, fp, text_hash) the component of every row, given the roots of linked values of fp."""
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(values.select("fp"), limit), "simhash-links")
     rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", F.col("root").alias("component"), "component_id")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "text_hash", "component", "component_id")
 
 
-def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: that with the smallest doc_id (null last, ties by a hash of
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, fp, text_hash, component (its smallest fingerprint) and component_id (its smallest doc_id) of every row."""
+    prints = stored(fingerprints(docs), "simhash")
+    return grouped(prints, components(links(prints.select("fp").distinct(), limit), "simhash-links"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``groups``: that with the smallest doc_id (null last, ties by a hash of
     the text)."""
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    kept = near_duplicates(docs, limit).groupBy("component").agg(F.min(rank).alias("r")).select(
+    kept = groups.groupBy("component").agg(F.min(rank).alias("r")).select(
         F.xxhash64("r.doc_id").alias("_a"), F.col("r.doc_id").alias("_doc_id"), F.col("r.text_hash").alias("_text_hash"))
     keyed = docs.select(*docs.columns, F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_text_hash"))
     same = (keyed["_a"] == kept["_a"]) & (keyed["_text_hash"] == kept["_text_hash"]) & keyed["doc_id"].eqNullSafe(kept["_doc_id"])
     return keyed.join(kept, same, "left_semi").dropDuplicates(["_a", "_text_hash"]).select(*docs.columns)
+
+
+def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates."""
+    return one_of_each(docs, near_duplicates(docs, limit))
