@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, language_id, packing, quality_rules, sentencepiece_chunks, simhash, substring_dedup, suffix_dedup, warc
+from . import centroids, conversations, fingerprints, html_extract, language_id, line_dedup, packing, quality_rules, sentencepiece_chunks, simhash, substring_dedup, suffix_dedup, warc
 from ..session import scratch_dir
 from .common import read_table
 
@@ -118,3 +118,58 @@ def op8(spark, folder):
 @register("op3_html_extract")
 def op3(spark, folder):
     return html_extract.extract(read_table(spark, folder, "pages"))
+
+
+def _centroid_sql() -> str:
+    """The rounds as chained tables; the embeddings' components are numbered from 1."""
+    near = """{a} AS (SELECT vec_id, e, k, d FROM (SELECT vec_id, v.e, k, CAST(list_sum(list_transform(range(1, 65), i -> (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS d,
+             row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS place FROM v CROSS JOIN {c} c) WHERE place = 1)"""
+    move = """m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+                SELECT k, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k),
+         c{s} AS (SELECT k, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (k))"""
+    steps = ["""WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+             """c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e FROM (SELECT e, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16))"""]
+    for r in range(3):
+        steps += [near.format(a=f"a{r}", c=f"c{r}"), move.format(r=r, s=r + 1)]
+    return ",\n         ".join([*steps, near.format(a="a", c="c3")]) + """
+    SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.e, ',')) AS centroid_sha256 FROM a JOIN c3 ON a.k = c3.k"""
+
+
+@register("op11_centroids", _centroid_sql())
+def op11(spark, folder):
+    return centroids.cluster(read_table(spark, folder, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+@register("op12_line_dedup", r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+         l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+         k AS (SELECT doc_id, line, i, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+         f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+         m AS (SELECT doc_id, line, i, coalesce(first < doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id""")
+def op12(spark, folder):
+    kept = line_dedup.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def damaged(conversations_table: DataFrame) -> DataFrame:
+    """The rows after the damage that their keys name."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    mode = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn"))) % 20
+    return conversations_table.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), mode.alias("mode")).filter("mode <> 0").select(
+        "conv_id", "turn", F.when(F.col("mode") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("mode") == 1, "").when(F.col("mode") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("mode") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+@register("op13_conversation_repair")
+def op13(spark, folder):
+    rows = read_table(spark, folder, "conversations")
+    repaired = conversations.repair(damaged(rows), everyone=rows)
+    text = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(text, 256).alias("repaired_sha256"))
