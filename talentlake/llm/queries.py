@@ -122,13 +122,13 @@ def op3(spark, folder):
 
 def _centroid_sql() -> str:
     """The rounds as chained tables; the embeddings' components are numbered from 1."""
-    near = """{a} AS (SELECT vec_id, e, k, d FROM (SELECT vec_id, v.e, k, CAST(list_sum(list_transform(range(1, 65), i -> (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS d,
+    near = """{a} AS (SELECT vec_id, e, k, d FROM (SELECT vec_id, v.e, k, CAST(list_sum([(v.e[i] - c.e[i]) * (v.e[i] - c.e[i]) for i in range(1, 65)]) AS BIGINT) AS d,
              row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS place FROM v CROSS JOIN {c} c) WHERE place = 1)"""
     move = """m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
                 SELECT k, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k),
          c{s} AS (SELECT k, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (k))"""
-    steps = ["""WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-              WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+    steps = ["""WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+              WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
              """c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e FROM (SELECT e, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16))"""]
     for r in range(3):
         steps += [near.format(a=f"a{r}", c=f"c{r}"), move.format(r=r, s=r + 1)]
