@@ -238,6 +238,33 @@ def _(t):
     return ql.merge_near_duplicates(rows, "submission_id", ["email", "phone", "full_name", "note"]).select("submission_id", "completeness", "copies")
 
 
+# Token sets of the submissions, their similar pairs and what each can reach over them.
+_SIMILAR = {**SUBMISSIONS, "token_sets": """
+    SELECT submission_id, list_sort(list_distinct(['email:' || e] || CASE WHEN p <> '' THEN ['phone:' || p] ELSE [] END || ['skill:' || lower(s) for s in normalized_skills] ||
+           CASE WHEN n <> '' THEN ['name:' || substring(n, i, 3) for i in range(1, greatest(length(n) - 2, 1) + 1)] ELSE [] END)) AS tokens
+    FROM (SELECT submission_id, normalized_skills, trim(lower(email)) AS e, replace(replace(coalesce(phone, ''), ' ', ''), '-', '') AS p, trim(lower(full_name)) AS n FROM {submissions})""",
+    "distinct_sets": "SELECT min(submission_id) AS node, tokens FROM {token_sets} GROUP BY tokens", "set_items": "SELECT node, len(tokens) AS n, unnest(tokens) AS token FROM {distinct_sets}",
+    "set_pairs": """
+    SELECT a.node AS a, b.node AS b FROM {set_items} a JOIN {set_items} b ON a.token = b.token AND a.node <> b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.9 * (a.n + b.n - count(*)) - 1e-9""",
+    "set_groups": """
+    WITH RECURSIVE reach AS (SELECT node, node AS other FROM {distinct_sets} UNION SELECT r.node, p.b FROM reach r JOIN {set_pairs} p ON p.a = r.other)
+    SELECT node, min(other) AS root FROM reach GROUP BY node""",
+    "grouped": """
+    SELECT s.*, g.root, CASE WHEN trim(email) <> '' THEN 1 ELSE 0 END + CASE WHEN phone <> '' THEN 1 ELSE 0 END + CASE WHEN trim(full_name) <> '' THEN 1 ELSE 0 END
+           + CASE WHEN s.submission_id % 3 = 0 THEN 1 ELSE 0 END AS completeness
+    FROM {submissions} s JOIN {token_sets} USING (submission_id) JOIN {distinct_sets} d USING (tokens) JOIN {set_groups} g USING (node)"""}
+
+
+@query("q17_merge_similar", """
+    SELECT submission_id, root AS group_id, completeness, copies FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY completeness DESC, submission_id) AS rn,
+        count(*) OVER (PARTITION BY root) AS copies FROM {grouped}) WHERE rn = 1""", _SIMILAR)
+def _(t):
+    rows = submissions(t).withColumn("note", F.expr("CASE WHEN submission_id % 3 = 0 THEN 'x' END"))
+    return ql.merge_similar(rows, "submission_id", ["email", "phone", "full_name", "note"], 0.9).select(
+        "submission_id", F.col("group").alias("group_id"), "completeness", "copies")
+
+
 @query("q18_dedupe_pairs", """
     SELECT min(pair_id) AS pair_id, label, job_text FROM (SELECT doc_id AS pair_id, text AS cv_text, doc_id % 2 AS label, lang AS job_text FROM documents) GROUP BY cv_text, job_text, label""")
 def _(t):

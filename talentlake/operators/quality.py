@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.contact import EMAIL_SHAPE, experience_years
 from ..functions.skillnames import normalize_skill_list, split_skills
 from ..functions.text import NON_SPACE, SPACE, as_column, capitalize, contains_any, first_chars, first_items, ordered_distinct, strip_space
+from ..session import cut_lineage
+from .set_similarity import similar_groups
 
 EMPTY = "array<string>"
 
@@ -240,6 +242,32 @@ def merge_near_duplicates(df: DataFrame, key: str, fields: list[str]) -> DataFra
     return marked.join(best.select(F.col(f"_best.{key}").alias(key), "copies"), key)
 
 
+def record_tokens() -> Column:
+    """What a candidate record is compared by: address, phone number, each skill, and the runs of three characters of the
+    name. Needs email, phone, full_name, normalized_skills."""
+    email = F.trim(F.lower(F.coalesce("email", F.lit(""))))
+    phone = F.translate(F.coalesce("phone", F.lit("")), " -", "")
+    person = F.trim(F.lower(F.coalesce("full_name", F.lit(""))))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(person) - 2, F.lit(1))), lambda i: F.concat(F.lit("name:"), F.substring(person, i, F.lit(3))))
+    fields = F.array(F.when(email != "", F.concat(F.lit("email:"), email)), F.when(phone != "", F.concat(F.lit("phone:"), phone)))
+    skills = F.transform(_list("normalized_skills"), lambda s: F.concat(F.lit("skill:"), F.lower(s)))
+    return F.array_compact(F.concat(fields, F.when(person != "", grams).otherwise(F.array().cast("array<string>")), skills))
+
+
+def merge_similar(df: DataFrame, key: str, fields: list[str], threshold: float = 0.9) -> DataFrame:
+    """One record per group of similar records: the one with most filled fields, the smallest key on a tie.
+
+    Records are similar when the Jaccard similarity of their tokens reaches the threshold, directly or over others;
+    ``copies`` tells how many the group holds, ``group`` is its smallest key.
+    """
+    filled = sum((F.coalesce(F.length(F.trim(F.col(c).cast("string"))) > 0, F.lit(False)).cast("int") for c in fields), F.lit(0))
+    groups = cut_lineage(similar_groups(df, key, record_tokens(), threshold))
+    marked = df.withColumn("completeness", filled)
+    best = groups.join(marked.select(key, "completeness"), key).groupBy("group").agg(
+        F.min(F.struct((-F.col("completeness")).alias("down"), F.col(key))).alias("_best"), F.count(F.lit(1)).alias("copies"))
+    return marked.join(best.select("group", F.col(f"_best.{key}").alias(key), "copies"), key)
+
+
 def dedupe_pairs(df: DataFrame, key: str = "pair_id") -> DataFrame:
     """One row per (cv_text, job_text, label), the one of smallest key; texts are compared by digest."""
     digest = F.md5(F.to_json(F.struct("cv_text", "job_text", "label")))
