@@ -8,6 +8,7 @@ from ..operators import joins as jn
 from ..operators import matching as mt
 from ..operators import quality as ql
 from ..operators import skills as sk
+from ..operators.topk import top_matches
 from .oracle_views import skill_name, sql_list, sql_map
 from .registry import query, rnd
 from .skills_queries import SKILL_SETS
@@ -46,6 +47,11 @@ def eligible_skills(t):
     return sk.candidate_skill_set(eligible, links)
 
 
+def best_matches(t, k, criteria=None):
+    """The k best eligible candidates per criteria, found with score bounds."""
+    return top_matches(eligible_skills(t), ql.matchable(t.candidates), t.criteria_skills, sk.skill_universe(t.skills, sk.dictionary(t.spark)), k, criteria)
+
+
 @query("j01_pairs", """
     SELECT DISTINCT candidate_id, criteria_id FROM {candidate_skills} JOIN {criteria_skills} USING (skill)""")
 def _(t):
@@ -424,11 +430,29 @@ def _(t):
 def flagship(t):
     from ..operators.decisions import decide
 
-    top = mt.rank_top(scored_pairs(t, eligible_skills(t)), ql.matchable(t.candidates), 10, t.job_criteria)
+    top = best_matches(t, 10, t.job_criteria)
     return top.select("criteria_id", "candidate_id", "full_name", "score_pct", "coverage_pct",
                       F.array_join("matched_skills", ", ").alias("matched"), "rank", decide(F.col("score_pct") / 100).alias("decision"))
 
 
+# The 20 best per criteria with the measures of m02 to m08, computed for these pairs only.
+@query("m16_top_scores", f"""
+    SELECT criteria_id, candidate_id, rank, {rnd('similarity', 4)} AS similarity, score_pct, matched_weight, total_weight, coverage_pct,
+           {rnd('n_matched * 100.0 / n_required', 1)} AS matching_pct FROM {{ranked}} WHERE rank <= 20""", SCORED)
+def _(t):
+    return best_matches(t, 20).select(
+        "criteria_id", "candidate_id", "rank", round_dp(F.col("similarity"), 4).alias("similarity"), "score_pct", "matched_weight", "total_weight",
+        "coverage_pct", mt.count_coverage(F.col("n_matched"), F.col("n_required"), 1).alias("matching_pct"))
+
+
+@query("m16_top_contributions", f"""
+    SELECT b.criteria_id, b.candidate_id, rank, skill, weight, {rnd('CASE WHEN present THEN weight * b.score_pct / b.total_weight ELSE 0 END', 2)} AS contribution
+    FROM {{breakdown}} b JOIN {{ranked}} r ON r.criteria_id = b.criteria_id AND r.candidate_id = b.candidate_id WHERE rank <= 20""", _BREAK)
+def _(t):
+    rows = mt.contributions(best_matches(t, 20), named_need(t))
+    return rows.select("criteria_id", "candidate_id", "rank", F.inline("skill_breakdown")).drop("present")
+
+
 def _word_hits(words) -> str:
     return f"list_filter({sql_list(words)}, lambda w: regexp_matches(low, '\\b' || w || '\\b'))"
 
