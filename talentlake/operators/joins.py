@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..plans.ranking import top_per_group
 from ..plans.skew import maybe_broadcast, salted_join
+from . import vector_index
 
 # Largest name list that is inlined into a filter; longer lists use the blocking join.
 INLINE_NAMES = 1000
@@ -124,111 +122,24 @@ def shortlist(favorites: DataFrame, candidates: DataFrame) -> DataFrame:
     return favorites.select(F.col("id").alias("favorite_id"), "recruiter_id", "candidate_id").join(shown, "candidate_id")
 
 
-# Rows of a block of the similarity search: the product of two blocks takes 64 MB.
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
-
-
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1.0, n)
-
-
-def block_cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Cosines of two blocks of vectors, rounded and clipped in place."""
-    sims = unit_rows(a) @ unit_rows(b).T
-    np.round(sims, 6, out=sims)
-    return np.clip(sims, 0.0, 1.0, out=sims)
-
-
-def first_per_row(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest values of each row, ties by column: a partial selection finds the k-th value, and
-    only what reaches it is ordered."""
-    k = min(k, sims.shape[1])
-    rows, cols = [], []
-    for at in range(0, len(sims), 64):
-        part = sims[at : at + 64]
-        least = -np.partition(-part, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(part >= least[:, None])
-        order = np.lexsort((c, -part[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        rows.append(r[place < k] + at)
-        cols.append(c[place < k])
-    return np.concatenate(rows), np.concatenate(cols)
-
-
 def top_k_similar(
-    queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id",
-    vector: str = "vector", query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
+    queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector",
+    query_block: int = vector_index.QUERY_ROWS, corpus_block: int = vector_index.CHUNK_ROWS, n_cells: int | None = None, least: float = 0.0, skip_same: bool = False,
 ) -> DataFrame:
-    """The k corpus items of highest cosine per query, clipped to 0-1, ties by item id. Exact.
-
-    Both sides are hashed into blocks of bounded size and every pair of blocks is one matrix product in one task;
-    a task returns at most k rows per query.
-    """
-    q_blocks = max(1, -(-queries.count() // query_block))
-    c_blocks = max(1, -(-corpus.count() // corpus_block))
-    left = queries.select(F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_v")).withColumns({
-        "_qb": F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)),
-        "_cb": F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>")),
-    })
-    right = corpus.select(F.col(item_id).alias("_iid"), F.col(vector).cast("array<double>").alias("_v")).withColumns({
-        "_cb": F.pmod(F.xxhash64("_iid"), F.lit(c_blocks)),
-        "_qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")),
-    })
-    schema = StructType([
-        StructField(query_id, queries.schema[query_id].dataType), StructField(item_id, corpus.schema[item_id].dataType),
-        *StructType.fromDDL("similarity double").fields,
-    ])
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({query_id: [], item_id: [], "similarity": []})
-        b = b.sort_values("_iid").reset_index(drop=True)
-        sims = block_cosines(a["_v"], b["_v"])
-        rows, cols = first_per_row(sims, k)
-        return pd.DataFrame({query_id: a["_qid"].to_numpy()[rows], item_id: b["_iid"].to_numpy()[cols],
-                             "similarity": sims[rows, cols]})
-
-    partial = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(block, schema)
+    """The k corpus items of highest cosine per query, clipped to 0-1, ties by item id. Exact, through a partitioned index;
+    ``least`` leaves out lower cosines, ``skip_same`` the item with the query's own id."""
+    index = vector_index.build_index(corpus, item_id, vector, n_cells=n_cells, chunk_rows=corpus_block)
+    partial = vector_index.nearest(queries, index, k, least, query_id, item_id, vector, skip_same, query_block)
     return top_per_group(partial, [query_id], [F.desc("similarity"), F.asc(item_id)], k)
 
 
-def nearest_join(queries: DataFrame, corpus: DataFrame, threshold: float, **names: str) -> DataFrame:
+def nearest_join(queries: DataFrame, corpus: DataFrame, threshold: float, **names) -> DataFrame:
     """The nearest corpus item per query when its cosine reaches the threshold."""
-    return top_k_similar(queries, corpus, 1, **names).filter(F.col("similarity") >= threshold).drop("rank")
+    return top_k_similar(queries, corpus, 1, least=threshold, **names).drop("rank")
 
 
-def best_per_owner(
-    queries: DataFrame, corpus: DataFrame, owner: str, threshold: float, block_rows: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK
-) -> DataFrame:
-    """Best similarity of every (query, owner of corpus items) that reaches the threshold.
-
-    The same blocked product as ``top_k_similar``; inside a task the items of one owner are reduced before anything
-    is returned, and pairs below the threshold are never emitted.
-    """
-    q_blocks = max(1, -(-queries.count() // query_block))
-    c_blocks = max(1, -(-corpus.count() // block_rows))
-    left = queries.select("query_id", F.col("vector").cast("array<double>").alias("_v")).withColumns({
-        "_qb": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)),
-        "_cb": F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>"))})
-    right = corpus.select("item_id", owner, F.col("vector").cast("array<double>").alias("_v")).withColumns({
-        "_cb": F.pmod(F.xxhash64("item_id"), F.lit(c_blocks)),
-        "_qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))})
-    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType),
-                         StructField(owner, corpus.schema[owner].dataType), *StructType.fromDDL("similarity double").fields])
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], owner: [], "similarity": []})
-
-        b = b.sort_values(owner, kind="stable").reset_index(drop=True)
-        sims = block_cosines(a["_v"], b["_v"])
-        owners, starts = np.unique(b[owner].to_numpy(), return_index=True)
-        best = np.maximum.reduceat(sims, starts, axis=1)
-        rows, cols = np.nonzero(best >= threshold)
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], owner: owners[cols], "similarity": best[rows, cols]})
-
-    partial = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(block, schema)
-    return partial.groupBy("query_id", owner).agg(F.max("similarity").alias("similarity"))
+def best_per_owner(queries: DataFrame, corpus: DataFrame, owner: str, threshold: float, skip_same: bool = False, n_cells: int | None = None) -> DataFrame:
+    """Best similarity of every (query, owner of corpus items) that reaches the threshold: only cells that can reach it are
+    visited, and the items of one owner are reduced inside their task."""
+    index = vector_index.build_index(corpus, "item_id", "vector", owner, n_cells)
+    return vector_index.best_owners(queries, index, threshold, owner=owner, skip_same=skip_same)
