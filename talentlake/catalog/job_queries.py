@@ -15,7 +15,7 @@ from ..sources import readers, writers
 from ..streaming import jobs
 from .match_queries import SCORED, pair_rows, scored_pairs
 from .registry import query, rnd
-from .text_queries import json_items, norm, profile_rows
+from .text_queries import job_rows, json_items, norm, profile_rows
 
 
 # Rows per text file.
@@ -192,11 +192,21 @@ def _(t):
     return md.score_pairs(md.train_logistic(rows), rows).select("criteria_id", "candidate_id", round_dp(F.col("probability_1"), 6).alias("probability"))
 
 
+def predicted_top(t, model, k=20):
+    """The k best of all eligible candidates per criteria by a logistic model over the overlap features."""
+    eligible = ql.matchable(t.candidates).select("candidate_id", "email")
+    people = cut_lineage(texts.predict_candidate_text(profile_rows(t).join(eligible, "candidate_id")).select(
+        "candidate_id", "full_name", "email", F.col("skills").alias("cv_skills"), F.col("candidate_text").alias("cv_text")))
+    work = cut_lineage(texts.predict_job_text(job_rows(t)).select("criteria_id", "required_skills", "job_text"))
+    top = md.predict_candidates(model, people, work, k)
+    rows = top.join(people, "candidate_id").join(work, "criteria_id")
+    rows = ft.pair_overlap_features(rows).withColumn("matched_skills", F.array_intersect("required_skills", "cv_skills"))
+    return md.predict_top_k(model, md.overlap_vector(rows), k)
+
+
 @query("m17_predict_top_k")
 def _(t):
-    rows = model_pairs(t)
-    people = ql.matchable(t.candidates).select("candidate_id", "full_name", "email")
-    top = md.predict_top_k(md.train_logistic(rows), rows.join(people, "candidate_id"))
+    top = predicted_top(t, md.train_logistic(model_pairs(t)))
     return top.select("criteria_id", "candidate_id", "full_name", "email", "rank", round_dp(F.col("score_pct"), 4).alias("score_pct"), "decision", "coverage_pct",
                       F.array_join("matched_skills", ", ").alias("matched"), F.array_join("missing_skills", ", ").alias("missing"))
 

@@ -8,6 +8,7 @@ from ..operators import joins as jn
 from ..operators import matching as mt
 from ..operators import quality as ql
 from ..operators import skills as sk
+from ..operators import overlap_topk as ot
 from ..operators.topk import top_matches
 from .oracle_views import skill_name, sql_list, sql_map
 from .registry import query, rnd
@@ -370,6 +371,38 @@ def _(t):
         "criteria_id", "candidate_id", "total_matches", round_dp(F.col("score_pct"), 2).alias("score_pct"))
 
 
+# Every eligible candidate with every criteria, skill-sharing or not; only the checking engine builds these pairs.
+_EVERY_PAIR = {**PAIR_VIEWS, "eligible": SCORED["eligible"], "pair_rows": PAIR_VIEWS["pair_rows"].replace(
+    "(SELECT DISTINCT candidate_id, criteria_id FROM {candidate_skills} JOIN {criteria_skills} USING (skill))",
+    "(SELECT candidate_id, criteria_id FROM {eligible} CROSS JOIN {job_criteria})")}
+_EVERY_HEURISTIC = {**_HEURISTIC, **_EVERY_PAIR}
+
+
+def people_and_jobs(t, numbers, job_numbers):
+    """Eligible candidates and criteria with their distinct lower-case skills and the given numbers."""
+    distinct = lambda c: F.array_distinct(F.transform(c, F.lower)).alias("items")
+    eligible = ql.matchable(t.candidates).select("candidate_id", "quality_pct")
+    people = profile_rows(t).join(eligible, "candidate_id").withColumn("cv_years", experience_years("raw_text"))
+    as_numbers = lambda columns: F.array(*[F.coalesce(F.expr(c).cast("double"), F.lit(0.0)) for c in columns]).alias("numbers")
+    return people.select("candidate_id", distinct("skills"), as_numbers(numbers)), job_rows(t).select("criteria_id", distinct("required_skills"), as_numbers(job_numbers))
+
+
+@query("m09_top_business", f"""
+    SELECT criteria_id, candidate_id, score_01, rank FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_01 DESC, candidate_id) AS rank
+        FROM (SELECT criteria_id, candidate_id, {rnd('score_01', 6)} AS score_01 FROM {{business}})) WHERE rank <= 20""", _EVERY_PAIR)
+def _(t):
+    sides = people_and_jobs(t, ["cv_years", "candidate_id % 5", "candidate_id % 101"], ["required_years", "criteria_id % 5", "criteria_id % 101"])
+    return ot.top_by_overlap(*sides, 20, ot.business_scores).withColumnRenamed("score", "score_01")
+
+
+@query("m10_top_heuristic", f"""
+    SELECT criteria_id, candidate_id, heuristic_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY heuristic_score DESC, candidate_id) AS rank
+        FROM (SELECT criteria_id, candidate_id, {rnd('h_score', 6)} AS heuristic_score FROM {{heuristic}})) WHERE rank <= 20""", _EVERY_HEURISTIC)
+def _(t):
+    sides = people_and_jobs(t, ["cv_years", "size(array_distinct(skills))"], ["required_years"])
+    return ot.top_by_overlap(*sides, 20, ot.heuristic_scores).withColumnRenamed("score", "heuristic_score")
+
+
 FALLBACK = {"fallback": f"""
     SELECT criteria_id, candidate_id, score_pct, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, created_at DESC, candidate_id) AS rank FROM (
@@ -399,6 +432,22 @@ def _(t):
                                            round_dp(F.col("final_score"), 4).alias("final_score"))
 
 
+@query("m14_top_components", f"""
+    SELECT criteria_id, candidate_id, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY final_score DESC, candidate_id) AS rank FROM (
+        SELECT criteria_id, candidate_id, {rnd("least(100.0, (share * 0.5 + experience_score * 0.25 + company_score * 0.15) * (1 + coalesce(quality_pct, 0) / 100 * 0.15))", 6)} AS final_score
+        FROM (SELECT p.candidate_id, p.criteria_id, 100.0 * len(list_intersect(p.cv_skills, p.job_skills)) / len(p.job_skills) AS share,
+            CASE WHEN regexp_matches(lower(array_to_string(r.titles, ' ')), 'senior|lead|principal|architect') THEN 90.0::DOUBLE ELSE 60.0::DOUBLE END AS experience_score,
+            least(100.0::DOUBLE, len(list_filter(r.companies, lambda c: contains(lower(c), 'works') OR contains(lower(c), 'bank'))) / 2.0::DOUBLE * 100 + 50) AS company_score,
+            d.quality_pct FROM {{pair_rows}} p JOIN {{profile_rows}} r USING (candidate_id) JOIN {{candidates}} d USING (candidate_id)))) WHERE rank <= 20""", _EVERY_PAIR)
+def _(t):
+    scores = mt.component_score(profile_rows(t).select(
+        "candidate_id", "companies", "job_titles", F.lit(0.0).alias("skill_share_pct"), F.lit(0.0).alias("quality_pct"),
+        F.array(F.lit("Works"), F.lit("Bank")).alias("preferred_companies"))).select("candidate_id", "experience_score", "company_score")
+    people, jobs = people_and_jobs(t, ["quality_pct"], ["0"])
+    numbers = F.array("experience_score", F.col("company_score").cast("double"), F.get("numbers", F.lit(0)))
+    return ot.top_by_overlap(people.join(scores, "candidate_id").withColumn("numbers", numbers), jobs, 20, ot.component_scores).withColumnRenamed("score", "final_score")
+
+
 @query("m15_blended_score", f"""
     SELECT candidate_id, criteria_id, {rnd('n / greatest(1, m)::DOUBLE', 4)} AS coverage_01,
            {rnd('(0.25 * similarity + 0.75 * n / greatest(1, m)::DOUBLE) * 100', 4)} AS blended_pct FROM (

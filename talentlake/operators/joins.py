@@ -21,7 +21,8 @@ def skill_overlap(candidate_skills: DataFrame, criteria_skills: DataFrame) -> Da
 def pairs(candidate_skills: DataFrame, criteria_skills: DataFrame) -> DataFrame:
     """Candidate and criteria pairs that share at least one skill.
 
-    Pairs without a shared skill score 0 everywhere, so the full product is never built.
+    Cosine and coverage scores of all other pairs are 0. Business, heuristic and component scores are not: see
+    ``overlap_topk`` for rankings that hold every candidate.
     """
     return skill_overlap(
         candidate_skills.select("candidate_id", "skill"), criteria_skills.select("criteria_id", "skill")

@@ -13,6 +13,7 @@ from talentlake.operators import joins as jn
 from talentlake.operators import matching as mt
 from talentlake.operators import models as md
 from talentlake.operators import quality as ql
+from talentlake.operators import vector_index
 from talentlake.plans import skew
 from talentlake.plans.ranking import exact_row_number
 
@@ -158,6 +159,6 @@ def test_partial_selection_equals_full_sort():
     sims = np.round(r.random((150, 40)), 1)
     sims[3] = 0.0
     for k in (1, 5, 40, 60):
-        rows, cols = jn.first_per_row(sims, k)
+        rows, cols = vector_index.first_per_row(sims, k)
         want = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         assert (rows == np.repeat(np.arange(150), want.shape[1])).all() and (cols == want.ravel()).all()
