@@ -198,4 +198,6 @@ def read(manifest: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataF
     def as_batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(run, RECORDS)
+    archives = manifest.select("archive").distinct()
+    # A task for each archive: with a count, small manifest rows are not merged into one task.
+    return archives.repartition(max(1, archives.count())).mapInArrow(run, RECORDS)
