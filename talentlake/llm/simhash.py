@@ -14,7 +14,7 @@ three words are one shingle; repeated rows fall together; a component's id is it
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ RADIUS = 2
 BLOCKS = 4
 SHINGLE = 3
 SEED = 42
+LANE_WORDS = 16  # a block of 1024 values, abandoned as one
 LIMIT = 4096
 
 
@@ -74,13 +75,17 @@ def within(values: np.ndarray, radius: int = RADIUS, rows: int = 256) -> np.ndar
     out = np.zeros((len(values), planes.shape[1]), np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     lanes = np.packbits(np.arange(planes.shape[1] * 64) < len(values), bitorder="little").view(np.uint64)
-    for at in range(0, len(values), rows):
+    for at, first in product(range(0, len(values), rows), range(0, planes.shape[1], LANE_WORDS)):
         alive = np.arange(at, min(at + rows, len(values)))
-        one = np.zeros((len(alive), planes.shape[1]), np.uint64)
-        two, over = one.copy(), np.broadcast_to(~lanes, one.shape).copy()
+        block = slice(first, first + LANE_WORDS)
+        over = np.broadcast_to(~lanes[block], (len(alive), len(lanes[block]))).copy()
+        own = (alive >> 6) - first  # a value's own lane never exceeds the radius, so it counts as exceeded
+        here = np.flatnonzero((own >= 0) & (own < over.shape[1]))
+        over[here, own[here]] |= np.uint64(1) << (alive[here] & 63).astype(np.uint64)
+        one, two = np.zeros_like(over), np.zeros_like(over)
         for step, b in enumerate(order):
             mine = ((values[alive] >> np.uint64(b)) & np.uint64(1)) * full
-            differ = planes[b][None, :] ^ mine[:, None]
+            differ = planes[b][None, block] ^ mine[:, None]
             carry = one & differ
             one ^= differ
             over |= two & carry
@@ -88,16 +93,20 @@ def within(values: np.ndarray, radius: int = RADIUS, rows: int = 256) -> np.ndar
             over |= (one & two) if radius == 2 else (two if radius == 1 else one | two)
             if step % 6 == 5:
                 going = ~(over == full).all(axis=1)
-                if not going.all():  # every lane exceeds the radius: these rows have no neighbour here
+                if not going.all():  # every lane exceeds the radius: the block is abandoned for these values
                     alive, one, two, over = alive[going], one[going], two[going], over[going]
                     if not len(alive):
                         break
-        out[alive] = ~over
+        if len(alive):
+            out[alive, block] = ~over
+    each = np.arange(len(values))
+    out[each, each >> 6] |= np.uint64(1) << (each & 63).astype(np.uint64)
     return out
 
 
 def small_groups(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Linked index pairs inside many small groups: each pair of values is one lane of the counters."""
+    """Stars (index, first index of its connected group) inside many small groups: each pair of values is one lane of the
+    counters, and of its links only the stars leave."""
     left, right = [], []
     for size in np.unique(sizes):
         at = starts[sizes == size]
@@ -120,7 +129,15 @@ def small_groups(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radi
         near = np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(x)].astype(bool)
         keep_left.append(x[near])
         keep_right.append(y[near])
-    return np.concatenate(keep_left), np.concatenate(keep_right)
+    left, right = np.concatenate(keep_left), np.concatenate(keep_right)
+    root = np.arange(int(starts.max() + sizes.max())) if len(starts) else np.zeros(0, np.int64)
+    while (root[left] != root[right]).any():
+        low = np.minimum(root[left], root[right])
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+    far = np.unique(np.concatenate([left, right]))
+    far = far[root[far] != far]
+    return far, root[far]
 
 
 def stars(adjacent: np.ndarray) -> np.ndarray:
@@ -173,8 +190,8 @@ def links(values: DataFrame, limit: int = LIMIT) -> DataFrame:
         few = (sizes > 1) & (sizes <= 24)
         if few.any():
             a, b = small_groups(unsigned, starts[few], sizes[few])
-            left.append(fp[b])
-            right.append(fp[a])
+            left.append(fp[a])
+            right.append(fp[b])
         for at, size in zip(starts[sizes > 24], sizes[sizes > 24]):
             own = np.ascontiguousarray(unsigned[at : at + size])
             root = stars(within(own))
@@ -226,11 +243,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component of ``groups``: that with the smallest doc_id (null last, ties by a hash of
     the text)."""
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    kept = groups.groupBy("component").agg(F.min(rank).alias("r")).select(
-        F.xxhash64("r.doc_id").alias("_a"), F.col("r.doc_id").alias("_doc_id"), F.col("r.text_hash").alias("_text_hash"))
-    keyed = docs.select(*docs.columns, F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_text_hash"))
-    same = (keyed["_a"] == kept["_a"]) & (keyed["_text_hash"] == kept["_text_hash"]) & keyed["doc_id"].eqNullSafe(kept["_doc_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_a", "_text_hash"]).select(*docs.columns)
+    name = lambda d, h: F.struct(F.coalesce(d.cast("string"), F.lit("")).alias("id"), d.isNull().alias("none"), h.alias("text"))
+    kept = groups.groupBy("component").agg(F.min(rank).alias("r")).select(name(F.col("r.doc_id"), F.col("r.text_hash")).alias("name"))
+    keyed = docs.select(F.struct("*").alias("row"), name(F.col("doc_id"), F.xxhash64("text")).alias("name"))
+    return keyed.join(kept, "name", "left_semi").dropDuplicates(["name"]).select("row.*")
 
 
 def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -85,3 +85,35 @@ def test_only_null_ids_and_empty(spark):
     assert simhash.representatives(docs).count() == 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0 and simhash.representatives(none).count() == 0
+
+
+def test_blocks_are_abandoned(monkeypatch):
+    """Random values lie far apart: whole blocks go before all planes are read, and links are still found."""
+    r = np.random.default_rng(1)
+    values = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    values[2000] = values[5] ^ np.uint64(3)
+    read = []
+    monkeypatch.setattr(simhash, "planes_of", lambda v, f=simhash.planes_of: CountedPlanes(f(v), read))
+    found = simhash.within(values)
+    near = [(a, b) for a, b in zip(*np.nonzero(np.unpackbits(found.view(np.uint8), axis=1, bitorder="little"))) if a != b]
+    assert near == [(5, 2000), (2000, 5)]
+    blocks = -(-3000 // 256) * -(-found.shape[1] // simhash.LANE_WORDS)
+    assert len(read) < 0.7 * 64 * blocks
+
+
+class CountedPlanes:
+    def __init__(self, planes, read):
+        self.planes, self.read, self.shape = planes, read, planes.shape
+
+    def __iter__(self):
+        return iter(self.planes)
+
+    def __getitem__(self, at):
+        self.read.append(at)
+        return self.planes[at]
+
+
+def test_small_groups_leave_stars():
+    values = np.array([0, 1, 3, 7, 15, 1 << 40, 8, 8 + (7 << 50)], np.uint64)
+    far, root = simhash.small_groups(values, np.array([0, 6]), np.array([6, 2]))
+    assert list(zip(far, root)) == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
