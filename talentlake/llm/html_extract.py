@@ -16,7 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html import unescape
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 NAMES = re.compile(r"(?:\s|/|\A)(class|id|role|hidden|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile("[a-z]+")
 # Elements whose text is never page text.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "noframes", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "select", "canvas", "noframes"}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter q ruby rb rt rp s samp small span strike "
-    "strong sub sup time tt u var wbr br button link meta base area audio video source track embed param picture output progress map".split())
+    "strong sub sup time tt u var wbr br button link meta base area audio video source track embed param picture output progress map object "
+    # Formulas and drawings stand inside a line.
+    "math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mfenced menclose mstyle mpadded "
+    "mphantom svg g text tspan textpath path circle ellipse rect line polyline polygon use defs symbol marker lineargradient radialgradient stop clippath mask pattern desc".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SEPARATES = {"br", "img", "input", "button", "td", "th"}
+SEPARATES = {"br", "img", "input", "button", "td", "th", "text", "tspan", "mtr", "mtd"}
 # A start tag of the key closes an open element of the set, up to the bound.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
            "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, set())}
@@ -91,6 +94,13 @@ class Tree:
                 end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(html, at)
                 at = (html.find(">", end.start()) + 1 or size) if end else size
                 continue
+            if name == "xmp":  # its markup is text
+                close_run()
+                end = re.compile("</xmp[\\s/>]", re.I).search(html, at)
+                run.append(escape(html[at : end.start() if end else size]))
+                at = (html.find(">", end.start()) + 1 or size) if end else size
+                close_run()
+                continue
             if name in INLINE:
                 links += name == "a"
                 if name in SEPARATES:
