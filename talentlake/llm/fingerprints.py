@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import shuffle_partitions, slices
 from .text_hash import joined, mix, span_hashes, word_spans
@@ -179,7 +180,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS, buckets:
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_in_edit", "distinct_shingles"]
     key = docs.schema["doc_id"].dataType.simpleString()
-    arrow = pa.schema(list(zip(names, [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key], pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4])))
+    arrow = pa.schema(list(zip(names, [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4])))
     schema = f"doc_id {key}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_in_edit double, distinct_shingles double"
     ordered = with_successor(docs, buckets or 2 * shuffle_partitions(docs.sparkSession))
     return ordered.mapInArrow(run, schema)
