@@ -279,7 +279,7 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, schema: str) -> DataFrame:
-    """Applies ``finish(text, covered, table)`` to every chunk of ``docs`` (all its columns, and ``_chunk``); ``covered`` flags the symbols that lie in a window which
+    """Applies ``finish(text, covered, table)`` to every chunk of ``docs`` (all its columns, and the chunk); ``covered`` flags the symbols that lie in a window which
     also starts in an earlier document. ``engine(contents, first)`` gives for distinct segments the first document of
     every window as runs (segment, first window, last window, document)."""
     spark = docs.sparkSession
@@ -287,14 +287,17 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
     # Segments of bytes are many and short: fewer chunks and buckets keep the messages between them large.
     chunks = buckets = (4 if unit.words else 2) * partitions
     known = spark.sparkContext.broadcast(key_filter(docs.select("text"), unit, buckets))
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(partitions, "_chunk")
+    name = "_chunk"
+    while name in docs.columns:  # a column of the input keeps its name and its values
+        name += "_"
+    dealt = docs.withColumn(name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(partitions, name)
     window = unit.window
 
     def segments_of(table: pa.Table) -> Segments:
         return Segments(table.column("text").to_pylist(), order_ids(table.column("doc_id")), unit, known.value, buckets)
 
     def send(table: pa.Table) -> pa.Table:
-        chunk = table.column("_chunk")[0].as_py()
+        chunk = table.column(name)[0].as_py()
         own = segments_of(in_order(table))
         edges = own.edges(buckets)
         full = np.flatnonzero(np.diff(edges))
@@ -361,6 +364,6 @@ def mark_repeats(docs: DataFrame, unit: Unit, engine: Engine, finish: Finish, sc
             np.add.at(step, own.at[place] + b[reply] + window, -1)
         return pa.Table.from_batches([finish(own.text, np.cumsum(step[:-1]) > 0, table)])
 
-    sent = dealt.groupBy("_chunk").applyInArrow(send, "bucket int, chunk int, lengths binary, body binary, fine binary, first binary, several binary")
+    sent = dealt.groupBy(name).applyInArrow(send, "bucket int, chunk int, lengths binary, body binary, fine binary, first binary, several binary")
     replies = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, segment binary, a binary, b binary, doc binary")
-    return dealt.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(close, schema)
+    return dealt.groupBy(name).cogroup(replies.groupBy("chunk")).applyInArrow(close, schema)
