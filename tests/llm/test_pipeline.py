@@ -4,11 +4,13 @@ import re
 
 import public_tokenizers as tokens
 import pytest
-from test_simhash import groups, plain
+from test_near_copies import kept_of
 from test_substrings import brute
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from talentlake.llm import near_copies, substring_dedup
 from talentlake.llm.common import stored
 from talentlake.llm.queries import QUERIES, SQL
 
@@ -50,9 +52,31 @@ def test_quality_rules_reject_bad_documents(spark):
 
 def test_one_of_each_group_stays(steps):
     rows, _ = steps
-    docs = sorted(rows[2], key=lambda r: r.doc_id)
-    root = groups([plain(r.text) for r in docs])
-    assert sorted(r.doc_id for r in rows[3]) == [docs[k].doc_id for k in sorted(set(root))]
+    assert sorted(r.doc_id for r in rows[3]) == kept_of([(r.doc_id, r.text) for r in rows[2]])
+
+
+def test_odd_documents(spark):
+    """Clashing columns keep their values; null ids and texts, empty texts, repeated rows and an empty table work."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, words(1), "one"), (1, words(1), "one"), (2, words(1) + " end", "two"), (3, words(3), "three"), (None, words(4), "none"), (5, None, "null"), (6, "", "empty"), (7, "p " + words(3) + " q", "more"), (8, words(8) * 3000, "long")]
+    docs = spark.createDataFrame([(i, t, 77, 99, 5, s) for i, t, s in rows], "doc_id long, text string, _chunk int, _a int, _text_hash int, source string").withColumn("n_chars", F.length("text").cast("long"))
+    for docs in (docs, docs.limit(0)):
+        kept = stored(corpus_pipeline.one_of_near_duplicates(spark, docs, FOLDER), "stage")
+        cut = corpus_pipeline.without_repeated_passages(spark, kept, FOLDER)
+        assert cut.columns == kept.columns == docs.columns
+        out = cut.collect()
+        assert all((r._chunk, r._a, r._text_hash) == (77, 99, 5) for r in out)
+    assert kept.count() == 0  # the last table is empty
+
+
+def test_odd_documents_give_their_rows(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, words(1), 7), (1, words(1), 7), (2, words(1) + " end", 8), (3, words(3), 9), (None, words(4), 10), (5, None, 11), (6, "", 12), (9, "p " + words(3) + " q r s t u v w x y z a b c d e f g h", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _chunk int")
+    kept = near_copies.representatives(docs)
+    assert sorted(r._chunk for r in kept.collect()) == [7, 9, 10, 11, 13]
+    cut = {r._chunk: r.text for r in substring_dedup.clean(docs).collect()}
+    assert cut == {7: words(1), 8: "end", 9: words(3), 10: words(4), 11: None, 12: "", 13: "p q r s t u v w x y z a b c d e f g h"}
 
 
 def test_passages_are_cut(steps):

@@ -236,3 +236,27 @@ def test_warc_detects_damage(tmp_path):
         path.write_bytes(raw[: len(raw) - cut])
         with pytest.raises(ValueError), open(path, "rb") as source:
             list(warc.read_stream(source))
+
+
+def test_formulas_drawings_and_listings_stay():
+    page = "<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav><article><h1>On energy</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, as everyone in physics knows by now.</p>"
+    page += "<p>See <object data=x>the fallback words</object> and <svg><text>drawn words</text></svg> in this long paragraph of the article.</p><xmp>if a < b: print('<b>literal</b>') # a listing of the article</xmp></article></body></html>"
+    tree = html_extract.Tree(page)
+    texts = [t for t in tree.texts if t]
+    assert "Energy is E=m here, as everyone in physics knows by now." in texts
+    assert "See the fallback words and drawn words in this long paragraph of the article." in texts
+    assert "if a < b: print('<b>literal</b>') # a listing of the article" in texts
+
+
+def test_fingerprints_of_other_id_types(spark):
+    rows = [(3, "a b c d e f"), (1, "x"), (2, None)]
+    want = {r.doc_id: tuple(r) for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in ("smallint", "int", "tinyint"):
+        got = {r.doc_id: tuple(r) for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()}
+        assert got == want
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", "<p>" + "x" * 200 + str(k)) for k in range(40)], "page_id long, url string, html string").repartition(5)
+    manifest = warc.write(pages, str(tmp_path / "warc"))
+    assert warc.read(manifest).rdd.getNumPartitions() == manifest.select("archive").distinct().count() > 1
