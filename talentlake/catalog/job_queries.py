@@ -53,17 +53,15 @@ def _(t):
 @query("s04_read_skill_dictionary", "SELECT category, name AS skill FROM {skills}")
 def _(t):
     folder = scratch_dir(t.spark, "dictionary")
-    lists = t.skills.groupBy("category").agg(F.collect_list("name").alias("names"))
-    lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "names")))).alias("value")).write.text(folder)
-    return readers.read_skill_dictionary(t.spark, folder)
+    writers.write_skill_dictionary(t.skills, folder)
+    return readers.read_skill_dictionary(t.spark, folder, lines=True)
 
 
 @query("s05_read_alias_map", "SELECT lower(p_brand || ' ' || p_type) AS alias, min(p_name) AS canonical FROM part GROUP BY 1")
 def _(t):
     folder = scratch_dir(t.spark, "aliases")
-    pairs = t.part.groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("k")).agg(F.min("p_name").alias("v"))
-    pairs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).write.text(folder)
-    return readers.read_alias_map(t.spark, folder)
+    writers.write_alias_map(t.part.groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("alias")).agg(F.min("p_name").alias("canonical")), folder)
+    return readers.read_alias_map(t.spark, folder, lines=True)
 
 
 @query("s06_json_list", f"""

@@ -144,11 +144,11 @@ def _(t):
              WHEN strong >= 1 THEN '👍 Good: ' || strong || ' strong match(es) available. Start with top candidates.'
              ELSE '⚠️ Limited strong matches (' || strong || '). Consider adjusting requirements or widening search.' END
         || CASE WHEN moderate > 0 THEN ' | Consider ' || moderate || ' moderate matches for technical screening.' ELSE '' END END AS recommendations
-    FROM (SELECT j.criteria_id, count(s.candidate_id) AS total_screened, count(*) FILTER (s.score_pct / 100 >= 0.8) AS strong,
+    FROM (SELECT j.criteria_id, (SELECT count(*) FROM {candidates}) AS total_screened, count(*) FILTER (s.score_pct / 100 >= 0.8) AS strong,
           count(*) FILTER (s.score_pct / 100 >= 0.6 AND s.score_pct / 100 < 0.8) AS moderate FROM {job_criteria} j LEFT JOIN {scored} s USING (criteria_id) GROUP BY 1)""", SCORED)
 def _(t):
     rows = scored_pairs(t).withColumn("score_01", F.col("score_pct") / 100)
-    return rp.shortlist_summary(rows, t.job_criteria).select(
+    return rp.shortlist_summary(rows, t.job_criteria, t.candidates).select(
         "criteria_id", "total_screened", "strong", "moderate", F.array_join("recommendations", " | ").alias("recommendations"))
 
 

@@ -12,13 +12,19 @@ from ..plans.skew import maybe_broadcast
 from .matching import clamp_weight
 
 
-def shortlist_summary(results: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Per criteria: candidates screened, strong and moderate matches, recommendation lines. Needs score_01."""
+def shortlist_summary(results: DataFrame, criteria: DataFrame, screened: DataFrame | None = None) -> DataFrame:
+    """Per criteria: candidates screened, strong and moderate matches, recommendation lines. Needs score_01.
+
+    ``screened`` holds all candidates that took part; those without a row in ``results`` scored 0. Without it the rows of
+    ``results`` are counted.
+    """
     s = F.col("score_01")
     counts = results.groupBy("criteria_id").agg(
         F.count(F.lit(1)).alias("total_screened"), F.count_if(s >= 0.80).alias("strong"),
         F.count_if((s >= 0.60) & (s < 0.80)).alias("moderate"))
     joined = criteria.select("criteria_id").join(counts, "criteria_id", "left").fillna(0, ["total_screened", "strong", "moderate"])
+    if screened is not None:
+        joined = joined.withColumn("total_screened", screened.agg(F.count(F.lit(1))).scalar())
     n = F.col("strong").cast("string")
     # Recommendation lines.
     pool = (

@@ -60,17 +60,18 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     }).filter((F.length("cv_text") > 0) & (F.length("job_text") > 0))
 
 
-def _json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
+def _json_document(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON maps of the files: one a file, or (``lines``) one a line, which splits over tasks at any size."""
+    return spark.read.text(path, wholetext=not lines).select(F.from_json("value", schema).alias("m"))
 
 
-def read_skill_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(category, skill) of a JSON map of lists."""
-    lists = _json_document(spark, path, "map<string,array<string>>").select(F.explode("m").alias("category", "skills"))
+def read_skill_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(category, skill) of JSON maps of lists."""
+    lists = _json_document(spark, path, "map<string,array<string>>", lines).select(F.explode("m").alias("category", "skills"))
     return lists.select("category", F.explode("skills").alias("skill")).filter(F.trim("skill") != "")
 
 
-def read_alias_map(spark: SparkSession, path: str) -> DataFrame:
-    """(alias, canonical) of a JSON map; aliases in lower case."""
-    return _json_document(spark, path, "map<string,string>").select(F.explode("m").alias("alias", "canonical")).withColumn(
+def read_alias_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(alias, canonical) of JSON maps; aliases in lower case."""
+    return _json_document(spark, path, "map<string,string>", lines).select(F.explode("m").alias("alias", "canonical")).withColumn(
         "alias", F.lower("alias"))

@@ -21,3 +21,27 @@ def test_refused_files(spark, tmp_path):
     assert readers.read_cv_text(spark, folder).count() == 2
     assert [r.n_bytes for r in readers.read_cv_text(spark, folder, 100).collect()] == [5]
     assert [r.n_bytes for r in readers.refused_files(spark, folder, 100).collect()] == [500]
+
+
+def test_dictionaries_as_documents_and_lines(spark, tmp_path):
+    from talentlake.sources import writers
+
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "skills.json").write_text('{\n  "tech": ["SQL", "C++"],\n  "soft": ["Team \\"work\\"", " "]\n}')
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = readers.read_skill_dictionary(spark, str(tmp_path / "one"))
+    assert rows(whole) == [("soft", 'Team "work"'), ("tech", "C++"), ("tech", "SQL")]
+    writers.write_skill_dictionary(whole.withColumnRenamed("skill", "name").repartition(3), str(tmp_path / "lines"))
+    again = readers.read_skill_dictionary(spark, str(tmp_path / "lines"), lines=True)
+    assert rows(again) == rows(whole)
+    writers.write_alias_map(spark.createDataFrame([("JS", "JavaScript"), ("k8s", "Kubernetes")], "alias string, canonical string"), str(tmp_path / "aliases"))
+    assert rows(readers.read_alias_map(spark, str(tmp_path / "aliases"), lines=True)) == [("js", "JavaScript"), ("k8s", "Kubernetes")]
+
+
+def test_summary_counts_all_screened(spark):
+    from talentlake.operators import reports
+
+    results = spark.createDataFrame([(1, 0.9), (1, 0.7)], "criteria_id int, score_01 double")
+    criteria, people = spark.createDataFrame([(1,), (2,)], "criteria_id int"), spark.range(5)
+    got = {r.criteria_id: (r.total_screened, r.strong, r.moderate) for r in reports.shortlist_summary(results, criteria, people).collect()}
+    assert got == {1: (5, 1, 1), 2: (5, 0, 0)}
