@@ -45,3 +45,23 @@ def test_summary_counts_all_screened(spark):
     criteria, people = spark.createDataFrame([(1,), (2,)], "criteria_id int"), spark.range(5)
     got = {r.criteria_id: (r.total_screened, r.strong, r.moderate) for r in reports.shortlist_summary(results, criteria, people).collect()}
     assert got == {1: (5, 1, 1), 2: (5, 0, 0)}
+
+
+def test_a_hot_criteria_is_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from talentlake.sources import writers
+
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7 + 2).alias("criteria_id"), F.col("id").alias("candidate_id"), F.rand(1).alias("score_pct")).repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        writers.write_match_results(rows, str(tmp_path / "r"))
+    finally:
+        spark.conf.unset(size)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "r").glob("criteria_id=*")}
+    assert files["criteria_id=1"] > 3 and len(files) == 8
+    writers.write_match_results(spark.createDataFrame([(1, 5, 0.5)], "criteria_id int, candidate_id long, score_pct double"), str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert stored.filter("criteria_id = 1").count() == 1 and stored.count() == 4001
