@@ -10,6 +10,7 @@ from ..operators import models as md
 from ..operators import quality as ql
 from ..operators import skills as sk
 from ..operators import texts
+from ..operators import training as tr
 from ..session import cut_lineage, scratch_dir
 from ..sources import readers, writers
 from ..streaming import jobs
@@ -174,6 +175,21 @@ def _(t):
     return _scored(t, md.train_forest)
 
 
+def labelled_pairs(t):
+    """Documents against items with the quality label, as labelled text pairs."""
+    items = t.benchmark.select("item_id", F.col("text").alias("job_text"))
+    return t.labels.join(t.documents.select("doc_id", "source", F.col("text").alias("cv_text")), "doc_id").withColumn(
+        "item_id", F.expr("doc_id % 40")).join(items, "item_id").select(
+        F.col("doc_id").alias("pair_id"), "source", "cv_text", "job_text", F.col("quality").alias("label"))
+
+
+@query("f14_training_run")
+def _(t):
+    found = tr.training_run(labelled_pairs(t), scratch_dir(t.spark, "run"))
+    ratios = ("accuracy", "precision", "recall", "f1", "threshold", "roc_auc", "cross_validated_auc")
+    return found.select("scorer", "part", "selected", "tp", "fp", "fn", "tn", *[round_dp(F.col(c), 4).alias(c) for c in ratios], "accept_pct", "review_pct")
+
+
 def model_pairs(t):
     """Skill-sharing pairs with prediction texts, overlap features and the heuristic label."""
     pairs = pair_rows(t)
