@@ -60,7 +60,35 @@ def _(t):
     return sk.match_skills_exact(t.documents, sk.dictionary(t.spark))
 
 
-@query("k07_match_skills_fuzzy")
+# All pairs of a distinct word and a dictionary entry whose lengths allow the ratio; no index.
+_WORDS_SQL = r"""
+    SELECT DISTINCT cv_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_\-]*[\p{L}\p{N}_]')) AS word FROM {cv_texts}"""
+
+
+def _tokens_sorted(x: str) -> str:
+    return (f"array_to_string(list_sort(list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), "
+            "lambda s: s <> '')), ' ')")
+
+
+def _fuzzy_views(threshold: int) -> dict[str, str]:
+    return {**_EXACT, "cv_words": _WORDS_SQL, "word_pairs": f"""
+        SELECT word, w, skill, category, pos, e FROM (SELECT word, {_tokens_sorted('word')} AS w FROM (
+            SELECT DISTINCT word FROM {{cv_words}}) WHERE length(word) > 2) JOIN (
+            SELECT *, {_tokens_sorted('skill')} AS e FROM {{dictionary}}) ON 2 * least(length(w), length(e)) * 100 >= ({threshold} - 0.5) * (length(w) + length(e))
+        WHERE w <> ''""", "word_rows": """
+        SELECT *, (1::BIGINT << length(e)) - 1 AS bits, list_transform(string_split(w, ''), lambda c: list_sum(list_transform(
+            range(1, length(e) + 1), lambda i: CASE WHEN e[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT) AS masks FROM {word_pairs}""",
+            "word_ratios": """
+        SELECT word, skill, category, pos, CAST(round(200.0 * (length(e) - bit_count(list_reduce(list_prepend(bits, masks),
+            lambda v, m: ((v + (v & m)) | (v - (v & m))) & bits))) / (length(w) + length(e))) AS INTEGER) AS ratio FROM {word_rows}""",
+            "fuzzy_words": f"""
+        SELECT word, skill, category, ratio FROM {{word_ratios}} WHERE ratio >= {threshold}
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY ratio DESC, pos) = 1"""}
+
+
+@query("k07_match_skills_fuzzy", """
+    SELECT cv_id, word, skill, category, 'fuzzy' AS method, ratio AS confidence FROM {cv_words} JOIN {fuzzy_words} USING (word)""",
+       _fuzzy_views(80))
 def _(t):
     return sk.match_skills_fuzzy(t.cv_texts, sk.dictionary(t.spark), 80, "cv_id")
 
@@ -78,7 +106,11 @@ def _(t):
     return words.join(F.broadcast(entries), "n").withColumn("distance", distance).filter("distance <= 2").drop("n")
 
 
-@query("k08_extract_skills")
+@query("k08_extract_skills", """
+    SELECT cv_id, skill, category, method, confidence FROM (
+        SELECT cv_id, skill, category, 'exact' AS method, 100 AS confidence, 1 AS prio FROM {exact_hits} UNION ALL
+        SELECT cv_id, skill, category, 'fuzzy', ratio, 0 FROM {cv_words} JOIN {fuzzy_words} USING (word))
+    QUALIFY row_number() OVER (PARTITION BY cv_id, skill ORDER BY prio DESC, confidence DESC) = 1""", _fuzzy_views(85))
 def _(t):
     return sk.extract_skills(t.cv_texts, sk.dictionary(t.spark), 85, "cv_id")
 

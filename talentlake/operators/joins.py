@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import top_per_group
 from ..plans.skew import maybe_broadcast, salted_join
-from . import vector_index
-
-# Largest name list that is inlined into a filter; longer lists use the blocking join.
-INLINE_NAMES = 1000
+from . import patterns, vector_index
 
 
 def skill_overlap(candidate_skills: DataFrame, criteria_skills: DataFrame) -> DataFrame:
@@ -83,27 +80,9 @@ def join_ci(left: DataFrame, right: DataFrame, left_name: str, right_name: str)
         right.withColumn("_key", F.lower(right_name)), "_key").drop("_key")
 
 
-def contains_join(docs: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """Rows of docs with every name that occurs in the text, ignoring case.
-
-    A short list of names is inlined into a per-row filter. Longer lists are blocked: each name is keyed by its first
-    characters, each text by the distinct runs of that many characters, and only equal keys are verified.
-    """
-    lowered = F.lower(F.col(text))
-    first = names.select(name).distinct().limit(INLINE_NAMES + 1).collect()
-    if len(first) <= INLINE_NAMES:
-        words = sorted(r[0] for r in first if r[0])
-        hits = F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(lowered, F.lower(w)))
-        return docs.withColumn(name, F.explode(hits))
-    keyed = names.select(name).distinct().withColumn("_key", F.lower(F.left(F.col(name), F.lit(3))))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(lowered), F.lit(1)))
-
-    def runs_of(n: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(lowered, i, F.lit(n)))
-
-    runs = [runs_of(n) for n in (1, 2, 3)]
-    blocks = docs.withColumn("_key", F.explode(F.array_distinct(F.concat(*runs))))
-    return blocks.join(keyed, "_key").filter(F.contains(lowered, F.lower(F.col(name)))).drop("_key")
+def contains_join(docs: DataFrame, names: DataFrame, text: str, name: str, shard_chars: int = patterns.SHARD_CHARS) -> DataFrame:
+    """Rows of docs with every name that occurs in the text, ignoring case; see ``patterns`` for how many names are met."""
+    return docs.withColumn(name, F.explode(patterns.patterns_in(F.col(text), names, name, shard_chars=shard_chars)))
 
 
 def exists_semi(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

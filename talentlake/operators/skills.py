@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.jsonlist import json_list
 from ..functions.skillnames import classify_skill, normalize_skill_name
-from ..functions.text import contains_any, round_dp, title_case
+from ..functions.text import contains_any, let, round_dp, title_case
+from ..plans.skew import salted_join
+from .patterns import patterns_in
 
-WORD = r"[\p{L}\p{N}_]+"
-_EDGE_LEFT, _EDGE_RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+LONG_BITS = 62  # characters whose row of the subsequence program fits a long
 
 
 def dictionary(spark: SparkSession, skills: dict[str, list[str]] | None = None) -> DataFrame:
@@ -25,22 +26,13 @@ def _escape(name: Column) -> Column:
 
 
 def match_skills_exact(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Dictionary skills that occur in a text between non-word characters.
+    """Dictionary skills that occur in a text between non-word characters, found in one walk of each text (``patterns``).
 
-    The distinct words of a text meet the dictionary on the first word of each skill; only the few candidates that
-    are phrases or hold symbols are then verified against the text. No text is shuffled.
+    Only the names found leave the walk; they meet the dictionary again for their category.
     """
-    lowered = F.lower("text")
-    entries = skills.select(
-        "skill", "category", F.lower("skill").alias("_name"),
-        F.regexp_extract(F.lower("skill"), f"({WORD})", 1).alias("_word"),
-    ).withColumn("_plain", F.col("_name") == F.col("_word"))
-    words = docs.select(F.col(key), F.col(text).alias("text")).withColumn(
-        "_word", F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({WORD})"))))
-    )
-    pattern = F.concat(F.lit(_EDGE_LEFT), _escape(F.col("_name")), F.lit(_EDGE_RIGHT))
-    hits = words.join(F.broadcast(entries), "_word").filter(F.col("_plain") | F.regexp_like(lowered, pattern))
-    return hits.select(
+    entries = skills.select("skill", "category")
+    found = docs.select(key, F.explode(patterns_in(F.col(text), skills, "skill", whole_words=True)).alias("skill"))
+    return salted_join(found, entries, ["skill"], F.col(key)).select(
         key, "skill", "category", F.lit("exact").alias("method"), F.lit(100).alias("confidence")
     )
 
@@ -68,25 +60,96 @@ def _common_length(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(left, start, next_row), -1)
 
 
+def _letter_masks(entry: Column) -> Column:
+    """Map from each character of an entry to a long whose set bits are its positions."""
+    letters = F.split(entry, "")
+    places = F.sequence(F.lit(0), F.size(letters) - 1)
+    mask = lambda c: F.aggregate(
+        places, F.lit(0).cast("bigint"), lambda m, i: F.when(F.get(letters, i) == c, m + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(m))
+    return F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, mask(c))))
+
+
+def _common_length_bits(word: Column, entry: Column, masks: Column) -> Column:
+    """Length of the longest common subsequence with an entry of at most ``LONG_BITS`` characters: a long holds one row of the
+    dynamic program, and each character of the word updates all of it by one addition. Two bits stay free, so nothing overflows."""
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(entry)) - 1
+
+    def step(row: Column, ch: Column) -> Column:
+        return let(row.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("bigint"))),
+                   lambda met: (row + met).bitwiseOR(row - met).bitwiseAND(full))
+
+    return F.length(entry) - F.bit_count(F.aggregate(F.split(word, ""), full, step))
+
+
+def _floor_div(a: Column, b: Column) -> Column:
+    return F.floor(a / b).cast("int")
+
+
+def _range(first: Column, last: Column) -> Column:
+    """first..last as an array, empty when last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _edits(entry: Column, word: Column, t: float) -> Column:
+    """Most insertions and deletions between an entry and a word of these lengths that a ratio of ``t`` allows. Their number
+    has the parity of the difference; below the difference no pair qualifies."""
+    most = F.floor((entry + word) * (1 - t / 100) + 1e-9).cast("int")
+    return most - F.pmod(most - entry - word, F.lit(2))
+
+
+def _segment_keys(entry: Column, word: Column, t: float, of_entry: Column | None = None, of_word: Column | None = None) -> Column:
+    """Keys under which an entry and a word (of these lengths) meet when at most ``_edits`` separate them.
+
+    The entry is cut into one segment more than there are edits, so a segment survives whole, with at most as many edits to
+    its left as segments and the rest to its right; that bounds where the word can hold it. With fewer characters than
+    segments, each character is a segment and may lie wherever the edits can move it.
+    """
+    def per_edits(most: Column) -> Column:
+        parts = F.least(most + 1, entry)
+        gap = word - entry
+        dropped, added = _floor_div(most - gap, F.lit(2)), _floor_div(most + gap, F.lit(2))
+
+        def of_part(i: Column) -> Column:
+            start, end = _floor_div(i * entry, parts), _floor_div((i + 1) * entry, parts)
+            key = lambda source, at: F.xxhash64(entry, word, i, F.substring(source, at + 1, end - start))
+            if of_entry is not None:
+                return F.array(key(of_entry, start))
+            cut = most < entry
+            low = F.greatest(-dropped, F.when(cut, F.greatest(-i, gap - most + i)).otherwise(-dropped), -start)
+            high = F.least(added, F.when(cut, F.least(i, gap + most - i)).otherwise(added), word - start - (end - start))
+            return F.transform(_range(low, high), lambda move: key(of_word, start + move))
+
+        keys = F.flatten(F.transform(_range(F.lit(0), parts - 1), of_part))
+        return F.when(most >= F.abs(gap), keys).otherwise(F.array().cast("array<bigint>"))
+
+    return let(_edits(entry, word, t), per_edits)
+
+
 def match_words_fuzzy(words: DataFrame, skills: DataFrame, threshold: int = 80) -> DataFrame:
-    """Best dictionary entry per distinct ``word`` (token-sort ratio at least ``threshold``).
+    """Best dictionary entry per distinct ``word`` (token-sort ratio at least ``threshold``; ties: the first entry).
 
-    Words meet only entries whose length allows the ratio; ``levenshtein`` with a limit discards the rest before the
-    exact ratio is computed.
+    Words and entries meet by equality of segment keys (``_segment_keys``), exact for any length; ``levenshtein`` with a limit
+    discards most of the rest before the ratio is computed. A ratio above 0 is needed, so ``threshold`` must be 1 or more.
     """
     t = threshold - 0.5  # the ratio is rounded before it is compared
-    entries = skills.select("skill", "category", "pos", _sorted_tokens(F.col("skill")).alias("_entry")).withColumn(
-        "_length",
-        F.explode(F.sequence(F.ceil(F.length("_entry") * t / (200 - t)).cast("int"),
-                             F.floor(F.length("_entry") * (200 - t) / t).cast("int"))),
-    )
-    keyed = words.select("word").withColumn("_word", _sorted_tokens(F.col("word"))).withColumn(
-        "_length", F.length("_word")).filter(F.col("_length") > 0)
+    entries = skills.select("skill", "category", "pos", _sorted_tokens(F.col("skill")).alias("_entry")).filter(F.length("_entry") > 0)
+    lengths = sorted(r[0] for r in entries.select(F.length("_entry")).distinct().collect())  # lengths, not entries
+    of_length = F.length("_entry")
+    reach = F.sequence(F.ceil(of_length * t / (200 - t)).cast("int"), F.floor(of_length * (200 - t) / t).cast("int"))
+    short = of_length <= LONG_BITS
+    held = entries.withColumn("_masks", F.when(short, _letter_masks(F.col("_entry")))).withColumn(
+        "_key", F.explode(F.flatten(F.transform(reach, lambda n: _segment_keys(of_length, n, t, of_entry=F.col("_entry"))))))
+    size = F.length("_word")
+    near = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
+                    lambda n: (n >= F.ceil(size * t / (200 - t))) & (n <= F.floor(size * (200 - t) / t)))
+    keyed = words.select("word").withColumn("_word", _sorted_tokens(F.col("word"))).filter(size > 0).withColumn(
+        "_key", F.explode(F.array_distinct(F.flatten(F.transform(near, lambda n: _segment_keys(n, size, t, of_word=F.col("_word")))))))
     total = F.length("_word") + F.length("_entry")
-    close = keyed.join(F.broadcast(entries), "_length").filter(
-        F.levenshtein("_word", "_entry") <= F.floor(total * (1 - t / 100))
-    )
-    ratio = F.round(200 * _common_length(F.col("_word"), F.col("_entry")) / total, 0).cast("int")
+    close = salted_join(keyed, held, ["_key"], F.col("word")).filter(
+        F.levenshtein("_word", "_entry") <= F.floor(total * (1 - t / 100) + 1e-9))
+    common = F.when(short, _common_length_bits(F.col("_word"), F.col("_entry"), F.col("_masks"))).otherwise(
+        _common_length(F.col("_word"), F.col("_entry")))
+    ratio = F.round(200 * common / total, 0).cast("int")
     best = F.max_by(F.struct("skill", "category", "_ratio"), F.struct("_ratio", -F.col("pos")))
     return (
         close.withColumn("_ratio", ratio).filter(F.col("_ratio") >= threshold).groupBy("word").agg(best.alias("_b"))

@@ -90,13 +90,15 @@ def test_blocked_similarity_equals_brute_force(spark):
     assert {(r.query_id, r.item_id, r["rank"]) for r in got.collect()} == want
 
 
-def test_contains_join_blocking_equals_inline(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "Knows SQL and go"), (2, "c"), (3, "nothing")], "id int, text string")
-    names = spark.createDataFrame([("sql",), ("Go",), ("C",), ("hing",)], "name string")
-    inline = sorted(map(tuple, jn.contains_join(docs, names, "text", "name").select("id", "name").collect()))
-    monkeypatch.setattr(jn, "INLINE_NAMES", 1)
-    assert sorted(map(tuple, jn.contains_join(docs, names, "text", "name").select("id", "name").collect())) == inline
-    assert (1, "Go") in inline and (2, "C") in inline
+def test_contains_join_over_many_shards(spark):
+    docs = spark.createDataFrame([(1, "Knows SQL and go", "x"), (2, "c", "y"), (3, "nothing", None), (4, None, "z"), (5, "", "z")], "id int, text string, form string")
+    names = spark.createDataFrame([("sql",), ("SQL",), ("Go",), ("C",), ("hing",), ("sql",), ("",), (None,)], "name string")
+    want = {(1, "sql"), (1, "SQL"), (1, "Go"), (2, "C"), (3, "hing")}
+    for chars in (1 << 19, 4, 1):
+        got = jn.contains_join(docs, names, "text", "name", shard_chars=chars)
+        assert got.columns == ["id", "text", "form", "name"]
+        rows = [(r.id, r["name"]) for r in got.collect()]
+        assert sorted(rows) == sorted(want)
 
 
 def test_auc_and_thresholds(spark):

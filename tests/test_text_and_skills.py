@@ -1,5 +1,8 @@
 """Normalisation, skill names and skill extraction on hand-written rows."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from talentlake.functions import contact, skillnames as sn, text as tx
@@ -75,6 +78,35 @@ def test_fuzzy_equals_brute_force(spark):
     assert {"pyton", "kubernets", "comunication"} <= set(expected)
 
 
+def test_fuzzy_of_other_dictionaries_equals_brute_force(spark):
+    rng = random.Random(5)
+    name = lambda longest: "".join(rng.choice("abc") for _ in range(rng.randint(1, longest)))
+    entries = [name(9) for _ in range(60)] + [name(30) for _ in range(12)] + ["ab" * 33, "b a", "a_b c"]
+    entries = list(dict.fromkeys(entries))
+    changed = ["".join(c for c in e if rng.random() > 0.12) + rng.choice(["", "a", "c"]) for e in entries]
+    words = sorted({name(9) for _ in range(80)} | {w for w in changed if w.strip()} | {"x" * 3000, "ab" * 34, "c-ba"})
+    skills = spark.createDataFrame([(e, "c", i) for i, e in enumerate(entries)], "skill string, category string, pos int")
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    for threshold in (60, 80):
+        found = {r.word: (r.skill, r.confidence) for r in sk.match_words_fuzzy(table, skills, threshold).collect()}
+        best = {w: max(((ratio(w, e), -i, e) for i, e in enumerate(entries)), default=None) for w in words if len(w) < 1000}
+        assert found == {w: (b[2], b[0]) for w, b in best.items() if b[0] >= threshold}
+
+
+def test_exact_matches_equal_patterns_one_by_one(spark):
+    rng = random.Random(3)
+    names = ["C++", "c", ".net", "a b", "b  c", "É", "_x", "x_", "a", "A", "aa", "+", "1.2"]
+    texts = ["".join(rng.choice(["a", "b", "c", " ", "+", ".", "é", "_", "x", "1", "2", "net", "  "]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, ""), (-3, "c++ " * 20000)], "doc_id int, text string")
+    skills = spark.createDataFrame([(n, "c") for n in [*names, "", None]], "skill string, category string")
+    edge = r"[^\W]"
+    want = {(i, n) for i, t in enumerate(texts) for n in names if re.search(f"(?<!{edge}){re.escape(n.lower())}(?!{edge})", t.lower())}
+    want |= {(-3, "C++"), (-3, "c"), (-3, "+")}
+    got = [(r.doc_id, r.skill) for r in sk.match_skills_exact(docs, skills).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sk.match_skills_exact(docs, skills.limit(0)).count() == 0 == sk.match_skills_exact(docs.limit(0), skills).count()
+
+
 def test_exact_matches_respect_word_limits(spark):
     docs = spark.createDataFrame([(1, "C++ and Node.js, not gopher; React Native; sqlite")], "doc_id int, text string")
     found = {r.skill for r in sk.match_skills_exact(docs, sk.dictionary(spark)).collect()}
