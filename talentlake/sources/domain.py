@@ -169,7 +169,7 @@ def spread(df: DataFrame, source_bytes: int) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("bB"))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())  # the setting may carry a unit
     return df.repartition(cores) if source_bytes < cores * split else df
 
 

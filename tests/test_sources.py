@@ -1,6 +1,6 @@
 """Sources: database tables and file size bounds."""
 
-from talentlake.sources import readers
+from talentlake.sources import domain, readers
 
 
 def test_jdbc_reads_all_rows_in_parts(spark):
@@ -65,3 +65,15 @@ def test_a_hot_criteria_is_written_by_many_tasks(spark, tmp_path):
     writers.write_match_results(spark.createDataFrame([(1, 5, 0.5)], "criteria_id int, candidate_id long, score_pct double"), str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
     assert stored.filter("criteria_id = 1").count() == 1 and stored.count() == 4001
+
+
+def test_split_size_with_a_unit(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = spark.range(10).repartition(3)
+        assert domain.spread(rows, 1 << 30).rdd.getNumPartitions() == 3
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+        assert domain.spread(rows, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
