@@ -142,7 +142,9 @@ def match_words_fuzzy(words: DataFrame, skills: DataFrame, threshold: int = 80)
     size = F.length("_word")
     near = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
                     lambda n: (n >= F.ceil(size * t / (200 - t))) & (n <= F.floor(size * (200 - t) / t)))
-    keyed = words.select("word").withColumn("_word", _sorted_tokens(F.col("word"))).filter(size > 0).withColumn(
+    # A word takes far more work than bytes: a counted exchange, which adaptive execution does not merge, keeps it spread.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = words.select("word").repartition(tasks, "word").withColumn("_word", _sorted_tokens(F.col("word"))).filter(size > 0).withColumn(
         "_key", F.explode(F.array_distinct(F.flatten(F.transform(near, lambda n: _segment_keys(n, size, t, of_word=F.col("_word")))))))
     total = F.length("_word") + F.length("_entry")
     close = salted_join(keyed, held, ["_key"], F.col("word")).filter(
