@@ -182,3 +182,11 @@ def test_pairs_equal_brute_force_and_are_not_shuffled(spark):
     own, asked = jn.owners(people, "candidate_id", F.col("skill")), jn.owners(wanted, "criteria_id", F.struct("skill", "weight"))
     dealt = jn.class_pairs(own, asked, ["items"], ["items"], lambda n: n["skill"], limit=7, side=0)
     assert sorted(map(tuple, jn.expanded(dealt.select("people", "jobs")).select("candidate_id", "criteria_id").collect())) == want
+
+
+def test_balanced_weights_need_no_join(spark):
+    rows = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (0.0,), (None,)], "label double")
+    got = md.balanced_weights(rows)
+    assert sorted((r.label, r.weight) for r in got.collect()) == [(0.0, 2.0), (1.0, 2 / 3), (1.0, 2 / 3), (1.0, 2 / 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Subquery" not in plan
