@@ -7,6 +7,10 @@ appears gets the exact score; whoever has not appeared yet lies behind the readi
 bounds its profile size from below and so its score from above. The criteria ends as soon as that bound cannot reach the
 k-th best any more. A task returns at most k rows per criteria; no table of pairs exists.
 
+Criteria with equal skills and weights are answered once. Of candidates with equal skills only the first k in the order
+(newest, id) can be among the k best, so no others reach a block. What a block does thus follows the number of different
+criteria and of different skill sets.
+
 Scores are compared as they are shown (percent, two decimals), then newest, then smallest id, and the bound takes these
 ties into account, so the result is exact. Candidates without a shared weight score 0 and are left to the caller.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round_dp
-from ..plans.ranking import top_per_group
+from ..plans.ranking import first_of_equal, top_per_group
 from ..plans.skew import maybe_broadcast
 from ..session import cut_lineage
 
@@ -120,12 +124,16 @@ def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int =
     """
     spark = held.sparkSession
     parallel = spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-held.count() // candidate_block))
-    parts = max(1, -(-need.count() // criteria_block), -(-2 * parallel // blocks))
     born = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(NEVER + 1)).alias("born")
-    left = held.filter("size > 0").select("candidate_id", born, "size", "skills").withColumns({
+    people = held.filter("size > 0").select("candidate_id", born, "size", F.array_sort("skills").alias("skills"))
+    first = cut_lineage(top_per_group(people, ["skills", "size"], [F.desc("born"), F.asc("candidate_id")], k).drop("rank"))
+    asked, alike = (cut_lineage(x) for x in first_of_equal(
+        need.filter("square > 0").select("criteria_id", "skills", "weights", "square"), ["skills", "weights", "square"], "criteria_id"))
+    blocks = max(1, -(-first.count() // candidate_block))
+    parts = max(1, -(-asked.count() // criteria_block), -(-2 * parallel // blocks))
+    left = first.withColumns({
         "_c": F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)), "_j": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))})
-    right = need.filter("square > 0").withColumns({
+    right = asked.withColumns({
         "_j": F.pmod(F.xxhash64("criteria_id"), F.lit(parts)), "_c": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
     kinds = {n: t for n, t in [*held.dtypes, *need.dtypes]}
     schema = f"criteria_id {kinds['criteria_id']}, candidate_id {kinds['candidate_id']}, score_pct double, born long"
@@ -140,7 +148,8 @@ def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int =
         return pd.DataFrame(rows, columns=["criteria_id", "candidate_id", "score_pct", "born"])
 
     partial = left.groupBy("_c", "_j").cogroup(right.groupBy("_c", "_j")).applyInPandas(run, schema)
-    return top_per_group(partial, ["criteria_id"], [F.desc("score_pct"), F.desc("born"), F.asc("candidate_id")], k).drop("rank", "born")
+    top = top_per_group(partial, ["criteria_id"], [F.desc("score_pct"), F.desc("born"), F.asc("candidate_id")], k)
+    return alike.join(top.withColumnRenamed("criteria_id", "_asked"), "_asked").select("criteria_id", "candidate_id", "score_pct")
 
 
 def matching_sides(candidate_skills: DataFrame, candidates: DataFrame, criteria_skills: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:

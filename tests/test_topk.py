@@ -77,3 +77,20 @@ def test_complete_ranking_and_empty_sides(spark):
     got = {(r.criteria_id, r.rank): (r.candidate_id, r.score_pct) for r in topk.top_matches(held, candidates, wanted, universe, 2, criteria).collect()}
     assert got == {(7, 1): (1, 100.0), (7, 2): (3, 0.0), (8, 1): (3, 0.0), (8, 2): (2, 0.0), (9, 1): (3, 0.0), (9, 2): (2, 0.0)}
     assert topk.top_matches(held.limit(0), candidates, wanted, universe, 2).count() == 0
+
+
+def test_equal_sides_reach_the_blocks_once(spark, monkeypatch):
+    """Equal criteria get equal answers, and equal candidates beyond the k newest change nothing."""
+    import datetime
+
+    day = lambda i: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i % 7)
+    held = spark.createDataFrame([(i, day(i), 2, ["y", "x"] if i % 2 else ["x", "y"]) for i in range(100)] + [(500, None, 1, ["x"])],
+                                 "candidate_id long, created_at timestamp, size long, skills array<string>")
+    need = spark.createDataFrame([(j, ["x", "y"], [3, 4], 25) for j in range(30)], "criteria_id long, skills array<string>, weights array<int>, square long")
+    counted = []
+    real = topk.top_per_group
+    monkeypatch.setattr(topk, "top_per_group", lambda df, group, order, k, *more: (counted.append(df.select(*group).distinct().count()), real(df, group, order, k, *more))[1])
+    rows = topk.top_scored(held, need, 4).collect()
+    newest = sorted(range(100), key=lambda i: (-(i % 7), i))[:4]
+    assert sorted((r.criteria_id, r.candidate_id) for r in rows) == sorted((j, i) for j in range(30) for i in newest)
+    assert counted == [2, 1]  # two different skill sets, one question
