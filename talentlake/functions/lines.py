@@ -41,23 +41,32 @@ def is_company_line(line: Column, norm: Column) -> Column:
     return ~contains_any(norm, vocab.NOT_COMPANY_WORDS) & line.rlike(COMPANY_SHAPE)
 
 
-def is_title_line(line: Column, norm: Column) -> Column:
+def is_title_line(line: Column, norm: Column, header: Column | None = None, company: Column | None = None) -> Column:
+    """``header`` and ``company``: what ``is_section_header`` and ``is_company_line`` gave, where that is known."""
+    header = is_section_header(norm) if header is None else header
+    company = is_company_line(line, norm) if company is None else company
     words = F.filter(F.split(line, SPACE + "+"), lambda w: w != "")
-    shape = (contains_any(norm, vocab.JOB_WORDS)
-             | F.when(F.size(words) == 1, line.rlike(r"^\p{L}{7,}$")).otherwise(F.forall(words, lambda w: w.rlike(LETTER))))
-    refused = (is_section_header(norm) | is_company_line(line, norm) | norm.isin(vocab.LANGUAGE_NAMES) | line.rlike(r"[.:]$")
-               | contains_any(norm, vocab.NOT_TITLE_WORDS + vocab.EDUCATION_WORDS + vocab.LEISURE_WORDS + ["loisirs", "interets"]))
-    return F.size(words).between(1, 6) & ~refused & shape
+
+    def judge(w: Column) -> Column:
+        shape = (contains_any(norm, vocab.JOB_WORDS)
+                 | F.when(F.size(w) == 1, line.rlike(r"^\p{L}{7,}$")).otherwise(F.forall(w, lambda x: x.rlike(LETTER))))
+        refused = (header | company | norm.isin(vocab.LANGUAGE_NAMES) | line.rlike(r"[.:]$")
+                   | contains_any(norm, vocab.NOT_TITLE_WORDS + vocab.EDUCATION_WORDS + vocab.LEISURE_WORDS + ["loisirs", "interets"]))
+        return F.size(w).between(1, 6) & ~refused & shape
+
+    return let(words, judge)
 
 
 def has_education_word(norm: Column) -> Column:
     return contains_any(norm, vocab.EDUCATION_WORDS)
 
 
-def is_education_line(line: Column, norm: Column) -> Column:
-    keyword = has_education_word(norm)
-    refused = is_section_header(norm) | contains_any(norm, ["linkedin", "github", "http", "www"] + vocab.LEISURE_WORDS)
-    return ~refused & (keyword | (line.rlike(YEAR) & ~is_company_line(line, norm)))
+def is_education_line(line: Column, norm: Column, header: Column | None = None, company: Column | None = None) -> Column:
+    """``header`` and ``company`` as in ``is_title_line``."""
+    header = is_section_header(norm) if header is None else header
+    company = is_company_line(line, norm) if company is None else company
+    refused = header | contains_any(norm, ["linkedin", "github", "http", "www"] + vocab.LEISURE_WORDS)
+    return ~refused & (has_education_word(norm) | (line.rlike(YEAR) & ~company))
 
 
 def company_from_line(line: Column) -> Column:

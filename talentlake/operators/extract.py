@@ -31,44 +31,59 @@ def _opens(norm: Column, kind: str) -> Column:
     return ln.matches_header(norm, SECTIONS[kind])
 
 
-def _closes(norm: Column, kind: str) -> Column:
+def _closes(x: Column, kind: str) -> Column:
     """Education sections end at a stop header only, all others at any header."""
-    return norm.isin(vocab.STOP_HEADERS) if kind == "education" else ln.is_section_header(norm)
+    return x["norm"].isin(vocab.STOP_HEADERS) if kind == "education" else x["header"]
+
+
+def cleaned_lines(text: Column | str = "text") -> Column:
+    """The lines of a text with position, raw, cleaned and folded text."""
+    def clean(raw: Column, i: Column) -> Column:
+        return let(ln.without_bullets(raw), lambda line: F.struct(
+            i.alias("pos"), strip_space(raw).alias("raw"), line.alias("line"), fold(line).alias("norm")))
+
+    return F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n"), clean)
 
 
 def annotate_lines(docs: DataFrame, text: str = "text", name: str = "lines") -> DataFrame:
     """Adds the array of annotated lines: position, raw and cleaned text, predicates and the sections a line lies in."""
-    def clean(raw: Column, i: Column) -> Column:
-        line = ln.without_bullets(raw)
-        return F.struct(i.alias("pos"), strip_space(raw).alias("raw"), line.alias("line"), fold(line).alias("norm"))
+    own = ("pos", "raw", "line", "norm")
 
     def judge(x: Column) -> Column:
         line, norm = x["line"], x["norm"]
-        return F.struct(
-            x["pos"].alias("pos"), x["raw"].alias("raw"), line.alias("line"), norm.alias("norm"),
-            ln.is_section_header(norm).alias("header"), ln.is_company_line(line, norm).alias("company"),
-            ln.is_title_line(line, norm).alias("title"), ln.is_education_line(line, norm).alias("education"),
-            (ln.matches_header(norm, vocab.EXPERIENCE_HEADERS)).alias("opens_experience"))
+
+        def rest(known: Column) -> Column:
+            header, company = known["header"], known["company"]
+            return F.struct(
+                *[x[c].alias(c) for c in own], header.alias("header"), company.alias("company"),
+                ln.is_title_line(line, norm, header, company).alias("title"), ln.is_education_line(line, norm, header, company).alias("education"),
+                (ln.matches_header(norm, vocab.EXPERIENCE_HEADERS)).alias("opens_experience"))
+
+        return let(F.struct(ln.is_section_header(norm).alias("header"), ln.is_company_line(line, norm).alias("company")), rest)
+
+    headers = sorted({h for words in SECTIONS.values() for h in words})
 
     def with_sections(array: Column) -> Column:
-        def borders(kind: str) -> Column:
-            marks = F.transform(array, lambda x: F.struct(
-                x["pos"].alias("pos"), F.when(_opens(x["norm"], kind), True).when(_closes(x["norm"], kind), False).alias("open")))
-            return F.filter(marks, lambda m: m["open"].isNotNull()).alias(kind)
+        def spans(heads: Column, kind: str) -> Column:
+            """(from, to) of the lines between a header that opens a section and the next one that opens or closes it."""
+            marks = F.filter(F.transform(heads, lambda x: F.struct(
+                x["pos"].alias("pos"), F.when(_opens(x["norm"], kind), True).when(_closes(x, kind), False).alias("open"))), lambda m: m["open"].isNotNull())
+            return let(marks, lambda b: F.filter(
+                F.transform(b, lambda m, i: F.struct(m["pos"].alias("from"), F.get(b, i + 1)["pos"].alias("to"), m["open"].alias("open"))),
+                lambda m: m["open"])).alias(kind)
 
         def place(b: Column) -> Column:
             def inside(x: Column, kind: str) -> Column:
-                last = F.get(F.filter(b[kind], lambda m: m["pos"] <= x["pos"]), F.size(F.filter(b[kind], lambda m: m["pos"] <= x["pos"])) - 1)
-                return F.coalesce((last["pos"] < x["pos"]) & last["open"], F.lit(False)).alias(f"in_{kind}")
+                return F.exists(b[kind], lambda m: (m["from"] < x["pos"]) & (m["to"].isNull() | (x["pos"] < m["to"]))).alias(f"in_{kind}")
 
             return F.transform(array, lambda x: F.struct(
-                *[x[c].alias(c) for c in ("pos", "raw", "line", "norm", "header", "company", "title", "education", "opens_experience")],
+                *[x[c].alias(c) for c in (*own, "header", "company", "title", "education", "opens_experience")],
                 *[inside(x, kind) for kind in SECTIONS]))
 
-        return let(F.struct(*[borders(kind) for kind in SECTIONS]), place)
+        heads = F.filter(array, lambda x: x["header"] | ln.matches_header(x["norm"], headers))  # only these open or close anything
+        return let(let(heads, lambda h: F.struct(*[spans(h, kind) for kind in SECTIONS])), place)
 
-    cleaned = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), clean)
-    return docs.withColumn(name, let(F.transform(cleaned, judge), with_sections))
+    return docs.withColumn(name, let(F.transform(cleaned_lines(text), judge), with_sections))
 
 
 def _pick(array: Column, keep, value=lambda x: x["line"], limit: int | None = None) -> Column:

@@ -126,3 +126,28 @@ def test_entities_to_profile_query_lists_ten_and_counts_all(spark, monkeypatch):
     found = load()["e25_entities_to_profile"].run(spark, "").first()
     assert [len(found[c].split(", ")) for c in ("persons", "locations", "job_titles")] == [10, 10, 10]
     assert found.total_entities == 33
+
+
+def test_sections_equal_a_walk_over_the_lines(spark):
+    """Sections as spans between headers against the last header above each line; plain lines need no rules."""
+    import random
+
+    from talentlake import vocab
+
+    r = random.Random(3)
+    pool = ["Skills", "Education", "Experience", "Projects", "Profile", "Languages", "Interests", "Certifications", "plain words", "more of it", "", "technical skills and more", "• item"]
+    docs = spark.createDataFrame([(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 30)))) for i in range(60)], "cv_id long, text string")
+    rows = ex.annotate_lines(docs).withColumn("plain", ex.cleaned_lines()).collect()
+    for row in rows:
+        assert [(x.pos, x.raw, x.line, x.norm) for x in row.lines] == [tuple(x) for x in row.plain]
+        for kind, words in ex.SECTIONS.items():
+            starts = [] if kind in ("experience", "education") else [w + " " for w in words if " " in w]
+            closers = vocab.STOP_HEADERS if kind == "education" else vocab.EXPERIENCE_HEADERS + vocab.EDUCATION_HEADERS + vocab.STOP_HEADERS
+            inside = False
+            for x in row.lines:
+                opens = x.norm in words or any(x.norm.startswith(s) for s in starts)
+                if opens or x.norm in closers:
+                    assert not x[f"in_{kind}"]
+                    inside = opens
+                else:
+                    assert x[f"in_{kind}"] == inside
