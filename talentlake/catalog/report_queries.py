@@ -9,6 +9,7 @@ from ..operators import maintenance as mn
 from ..operators import matching as mt
 from ..operators import quality as ql
 from ..operators import reports as rp
+from ..operators import skills as sk
 from .match_queries import _BREAK, FALLBACK, PAIR_VIEWS, SCORED, best_matches, named_need, pair_rows, scored_pairs
 from .oracle_views import sql_list
 from .registry import query, rnd
@@ -240,7 +241,9 @@ def _(t):
 @query("r10_best_candidate", """
     SELECT criteria_id, candidate_id, score_pct FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, candidate_id) AS rn FROM {scored}) WHERE rn = 1""", SCORED)
 def _(t):
-    return rp.best_candidate(scored_pairs(t))
+    held = sk.candidate_skill_set(t.candidates, t.candidate_skills)
+    universe = sk.skill_universe(t.skills, sk.dictionary(t.spark))
+    return rp.best_by_cosine(held, t.criteria_skills, universe, lambda need: scored_pairs(t, held, need=need)).select("criteria_id", "candidate_id", "score_pct")
 
 
 @query("r11_priority_board", """

@@ -37,12 +37,12 @@ NEVER = -(1 << 63)
 
 
 @lru_cache(1 << 16)
-def percent(dot: int, size: int, square: int) -> float:
-    """The cosine in percent as shown: half-up to nine, then to two decimals."""
+def percent(dot: int, size: int, square: int, digits: int = 2) -> float:
+    """The cosine in percent as shown: half-up to nine, then to two (or ``digits``) decimals."""
     if not dot or not size or not square:
         return 0.0
     cosine = min(max(dot / (math.sqrt(size) * math.sqrt(square)), 0.0), 1.0)
-    return float(Decimal(repr(cosine * 100)).quantize(Decimal("1e-9"), ROUND_HALF_UP).quantize(Decimal("0.01"), ROUND_HALF_UP))
+    return float(Decimal(repr(cosine * 100)).quantize(Decimal("1e-9"), ROUND_HALF_UP).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
 class Block:
@@ -63,7 +63,7 @@ class Block:
         larger = np.searchsorted(self.sizes, self.sizes, side="right")
         self.next_size = np.where(larger < len(self.sizes), self.sizes[np.minimum(larger, len(self.sizes) - 1)], 0) if len(order) else larger
 
-    def best(self, skills: list[str], weights: list[int], square: int, k: int) -> tuple[list[tuple[float, int, int]], int]:
+    def best(self, skills: list[str], weights: list[int], square: int, k: int, digits: int = 2) -> tuple[list[tuple[float, int, int]], int]:
         """The k best as (percent, place) keys in order, and how many candidates were scored."""
         lists = [(self.lists[s], w) for s, w in zip(skills, weights) if w > 0 and s in self.lists]
         seen = np.zeros(len(self.ids), bool)
@@ -87,14 +87,14 @@ class Block:
                 kind = np.flatnonzero(np.concatenate([[True], (np.diff(dots[may]) != 0) | (np.diff(self.sizes[fresh[may]]) != 0)]))
                 may = may[np.arange(len(may)) - np.repeat(kind, np.diff(np.append(kind, len(may)))) < k]
             for i, dot in zip(fresh[may].tolist(), dots[may].tolist()):
-                top.append((percent(dot, int(self.sizes[i]), square), int(self.born[i]), -int(self.ids[i]), i))
+                top.append((percent(dot, int(self.sizes[i]), square, digits), int(self.born[i]), -int(self.ids[i]), i))
             top = sorted(top, reverse=True)[:k]
             at = [min(p + step, len(own)) for (own, _), p in zip(lists, at)]
             step *= 2
-            if self.ended(lists, at, top, square, k):
+            if self.ended(lists, at, top, square, k, digits):
                 return top, int(seen.sum())
 
-    def ended(self, lists: list, at: list[int], top: list, square: int, k: int) -> bool:
+    def ended(self, lists: list, at: list[int], top: list, square: int, k: int, digits: int = 2) -> bool:
         """Whether no unseen candidate can enter the top."""
         ahead = sorted((int(own[p]), w) for (own, w), p in zip(lists, at) if p < len(own))
         if not ahead:
@@ -109,14 +109,14 @@ class Block:
             total = 0
             for m, weight in enumerate(weights, 1):
                 total += weight
-                if m <= size and (percent(total, size, square), int(self.born[place]), -int(self.ids[place])) >= last:
+                if m <= size and (percent(total, size, square, digits), int(self.born[place]), -int(self.ids[place])) >= last:
                     return False
-                if larger and percent(total, max(larger, m), square) >= last[0]:
+                if larger and percent(total, max(larger, m), square, digits) >= last[0]:
                     return False
         return True
 
 
-def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int = CANDIDATE_BLOCK, criteria_block: int = CRITERIA_BLOCK) -> DataFrame:
+def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int = CANDIDATE_BLOCK, criteria_block: int = CRITERIA_BLOCK, digits: int = 2) -> DataFrame:
     """(criteria_id, candidate_id, score_pct, created_at) of the k best per criteria with a score above 0.
 
     ``held``: candidate_id (integer), created_at, size, skills (array). ``need``: criteria_id, skills, weights (arrays of the
@@ -143,7 +143,7 @@ def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int =
         if len(people) and len(jobs):
             block = Block(people["candidate_id"].to_numpy(), people["born"].to_numpy(), people["size"].to_numpy(), list(people["skills"]))
             for job in jobs.itertuples():
-                found, _ = block.best(list(job.skills), [int(w) for w in job.weights], int(job.square), k)
+                found, _ = block.best(list(job.skills), [int(w) for w in job.weights], int(job.square), k, digits)
                 rows += [(job.criteria_id, -key, score, born) for score, born, key, _ in found if score > 0]
         return pd.DataFrame(rows, columns=["criteria_id", "candidate_id", "score_pct", "born"])
 

@@ -94,3 +94,19 @@ def test_equal_sides_reach_the_blocks_once(spark, monkeypatch):
     newest = sorted(range(100), key=lambda i: (-(i % 7), i))[:4]
     assert sorted((r.criteria_id, r.candidate_id) for r in rows) == sorted((j, i) for j in range(30) for i in newest)
     assert counted == [2, 1]  # two different skill sets, one question
+
+
+def test_winners_without_scoring_all_pairs(spark, monkeypatch):
+    from talentlake.operators import reports as rp
+
+    skills = spark.createDataFrame([(1, "Alpha"), (2, "Alpha"), (2, "Zeta"), (3, "Zeta")], "candidate_id long, skill string")
+    need = spark.createDataFrame([(10, "Alpha", 50), (11, "Zeta", 40)], "criteria_id long, skill string, weight int")
+    universe = spark.createDataFrame([("Alpha",)], "skill string")  # Zeta is outside: its pairs score 0
+    found = rp.best_by_cosine(skills, need, universe, lambda rest: mt.weighted_cosine(skills, rest, universe)).collect()
+    assert sorted((r.criteria_id, r.candidate_id, r.score_pct) for r in found) == [(10, 1, 100.0), (11, 2, 0.0)]
+
+    people = spark.createDataFrame([(i, datetime.datetime(2020, 1, i)) for i in (1, 2, 3)], "candidate_id long, created_at timestamp")
+    jobs = need.groupBy(mt.F.col("criteria_id").alias("job_id")).agg(mt.F.collect_list(mt.F.struct(mt.F.col("skill").alias("name"), "weight")).alias("ideal_skills"))
+    monkeypatch.setattr(mt, "scored_classes", lambda *_: pytest.fail("all pairs are scored"))
+    best = mt.generate_and_match(jobs, people, skills, 1).collect()
+    assert sorted((r.criteria_id, r.candidate_id, r.score_pct, r["rank"]) for r in best) == [(10, 1, 100.0, 1), (11, 3, 100.0, 1)]
