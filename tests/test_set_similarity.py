@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talentlake.operators import quality
+from talentlake.operators import quality, set_similarity
 from talentlake.operators.set_similarity import similar_groups
 from talentlake.plans.graph import connected_groups
 
@@ -54,6 +54,27 @@ def test_groups_equal_all_pairs(spark, threshold, cell):
     assert {x.id: x.group for x in similar_groups(docs, "id", F.col("words"), threshold, cell).collect()} == want
 
 
+@pytest.mark.parametrize("threshold, paired", [(0.8, 8), (0.4, 5), (0.9, 12), (0.6, 1)])
+def test_groups_across_the_limit_of_pairs(spark, threshold, paired):
+    r = random.Random(paired)
+    rows = []
+    for k in range(60):
+        base = [f"w{r.randrange(40)}" for _ in range(r.randrange(1, 2 * paired + 4))]
+        rows += [(len(rows) + i, [w for w in base if r.random() > 0.1] + ["more"] * (r.random() < 0.3)) for i in range(r.randrange(1, 5))]
+    sets = {k: frozenset(t) for k, t in rows}
+    near = lambda a, b: a == b or len(a & b) >= threshold * len(a | b) - 1e-9 and bool(a | b)
+    want = closure(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+    docs = spark.createDataFrame(rows, "id long, words array<string>")
+    assert {x.id: x.group for x in similar_groups(docs, "id", F.col("words"), threshold, paired=paired).collect()} == want
+
+
+def test_sets_with_one_rare_token_in_common_do_not_meet(spark):
+    rows = [(k, [f"own{k}", "rare", *[f"often{(k * i) % 50}" for i in range(2, 10)]]) for k in range(1, 400)]
+    sets = spark.createDataFrame(rows, "node long, _tokens array<string>").withColumn("_tokens", F.array_distinct("_tokens"))
+    keys = sets.select("node", F.explode(set_similarity.meeting_keys(sets, 0.9)).alias("key")).groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] < 50
+
+
 def test_most_complete_record_stays(spark):
     rows = [(1, "a@x.io", None, "Jonathan Doe Smithson", None), (2, "A@x.io ", None, "Jonathan Doe Smithson", "note"), (3, "a@x.io", None, "Jonathan Doe Smithson.", None), (4, "b@x.io", "1", "Someone Else", None), (5, None, None, None, None)]
     df = spark.createDataFrame([(*x, ["SQL", "python"]) for x in rows], "id long, email string, phone string, full_name string, note string, normalized_skills array<string>")
