@@ -130,8 +130,8 @@ _CONTEXTS = {"contexts": " UNION ALL ".join(
     SELECT cv_id, skill, CASE WHEN ctx = '' THEN 'beginner' {_LEVEL} ELSE 'beginner' END AS proficiency FROM {{contexts}}""",
        _CONTEXTS)
 def _(t):
-    hits = sk.match_skills_exact(t.cv_texts, sk.dictionary(t.spark), "cv_id")
-    return sk.skill_proficiency(hits.join(t.cv_texts, "cv_id")).select("cv_id", "skill", "proficiency")
+    hits = sk.match_skills_exact(t.cv_texts, sk.dictionary(t.spark), "cv_id", keep=("text",))
+    return sk.skill_proficiency(hits).select("cv_id", "skill", "proficiency")
 
 
 @query("k10_tech_skills", f"""

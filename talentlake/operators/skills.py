@@ -25,15 +25,15 @@ def _escape(name: Column) -> Column:
     return F.regexp_replace(name, r"([.+*?^$()\[\]{}|\\])", r"\\$1")
 
 
-def match_skills_exact(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def match_skills_exact(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Dictionary skills that occur in a text between non-word characters, found in one walk of each text (``patterns``).
 
-    Only the names found leave the walk; they meet the dictionary again for their category.
+    Only the names found, and the columns ``keep``, leave the walk; they meet the dictionary again for their category.
     """
     entries = skills.select("skill", "category")
-    found = docs.select(key, F.explode(patterns_in(F.col(text), skills, "skill", whole_words=True)).alias("skill"))
+    found = docs.select(key, *keep, F.explode(patterns_in(F.col(text), skills, "skill", whole_words=True)).alias("skill"))
     return salted_join(found, entries, ["skill"], F.col(key)).select(
-        key, "skill", "category", F.lit("exact").alias("method"), F.lit(100).alias("confidence")
+        key, "skill", "category", F.lit("exact").alias("method"), F.lit(100).alias("confidence"), *keep
     )
 
 
@@ -191,10 +191,14 @@ def skill_proficiency(mentions: DataFrame, text: str = "text", skill: str = "ski
     right = F.when(name.rlike(r"\w$"), F.lit(r"\b")).otherwise(F.lit(""))
     pattern = F.concat(F.lit("(.{0,100}"), left, _escape(name), right, F.lit(".{0,100})"))
     context = F.array_join(F.regexp_extract_all(F.lower(F.col(text)), pattern), " ")
-    level = F.when(context == "", "beginner")
-    for label, words in vocab.PROFICIENCY_WORDS.items():
-        level = level.when(contains_any(context, words), label)
-    return mentions.withColumn("proficiency", level.otherwise("beginner"))
+
+    def level_of(near: Column) -> Column:
+        level = F.when(near == "", "beginner")
+        for label, words in vocab.PROFICIENCY_WORDS.items():
+            level = level.when(contains_any(near, words), label)
+        return level.otherwise("beginner")
+
+    return mentions.withColumn("proficiency", let(context, level_of))
 
 
 def merge_skills(recognised: DataFrame, from_dictionary: DataFrame, key: str = "doc_id") -> DataFrame:

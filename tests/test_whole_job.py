@@ -9,3 +9,11 @@ def test_proficiency_of_names_with_symbols(spark, monkeypatch):
     found = {(r.cv_id, r.skill): r.proficiency for r in load()["k09_skill_proficiency"].run(spark, "").collect()}
     assert {(1, "C++"), (1, "Node.js"), (2, "CI/CD"), (3, "Python")} <= set(found)
     assert found[1, "C++"] == "expert" and found[3, "Python"] == "advanced"
+
+
+def test_proficiency_reads_a_text_once(spark, monkeypatch):
+    cvs = spark.range(3).selectExpr("id AS cv_id", "concat('Expert in Python ', uuid()) AS text")
+    monkeypatch.setattr(registry, "table", lambda *_: cvs)
+    found = load()["k09_skill_proficiency"].run(spark, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {(r.cv_id, r.proficiency) for r in found.collect() if r.skill == "Python"} == {(0, "expert"), (1, "expert"), (2, "expert")}
