@@ -107,6 +107,31 @@ def test_suffix_order_is_sorted():
         assert common.tolist() == [0, *[min(12, shared(a[0], b[0])) for a, b in zip(suffixes, suffixes[1:])]]
 
 
+def test_order_of_long_blocks_and_first_documents():
+    r = random.Random(9)
+    for alphabet in (b"ab", b"\x00a", bytes(range(256))):
+        strings = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(60)]
+        strings += [s + t for s, t in zip(strings[:20], strings[20:40])]
+        columns = suffix_dedup.Columns(strings, 8)
+        symbols, common, order = suffix_dedup.transform(columns, 20)
+        assert len(columns.symbols) == -(-max(map(len, strings)) // 8)
+        assert order.tolist() == [i for i in np.argsort(symbols, kind="stable") if symbols[i]]
+        shifted = [s[a:] + b"\0" * (-len(s[a:]) % 8) for s in strings for a in range(8)]
+        suffixes = sorted(([s[i : i + 8] for i in range(k, len(s), 8)], n) for n, s in enumerate(shifted) for k in range(0, len(s) + 1, 8))
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common.tolist() == [0, *[min(20, shared(b"".join(a[0]), b"".join(b[0]))) for a, b in zip(suffixes, suffixes[1:])]]
+        strings = list(dict.fromkeys(s for s in strings if len(s) >= 8))
+        first = np.array([r.randrange(10) for _ in strings])
+        least = {}
+        for s, d in zip(strings, first.tolist()):
+            for i in range(len(s) - 7):
+                least[s[i : i + 8]] = min(d, least.get(s[i : i + 8], d))
+        found = {}
+        for s, a, b, d in zip(*(x.tolist() for x in suffix_dedup.first_documents(strings, first, 8))):
+            found |= {(s, i): d for i in range(a, b + 1)}
+        assert found == {(n, i): least[s[i : i + 8]] for n, s in enumerate(strings) for i in range(len(s) - 7)}
+
+
 def test_broadcast_reference(spark):
     reference = [" ".join(f"w{i}" for i in range(k, k + 80)) for k in (0, 500, 1000)]
     docs = spark.createDataFrame([(1, "start " + reference[1] + " end"), (2, "none"), (3, None), (4, " ".join(f"w{i}" for i in range(10, 59)))], "doc_id long, text string")
