@@ -1,6 +1,10 @@
 """Registered queries do the whole job, also where the test tables hold no such case."""
 
+from pyspark.sql import functions as F
+
 from talentlake.catalog import load, registry
+from talentlake.catalog.text_queries import job_rows, profile_rows
+from talentlake.operators import features, joins
 
 
 def test_proficiency_of_names_with_symbols(spark, monkeypatch):
@@ -17,3 +21,16 @@ def test_proficiency_reads_a_text_once(spark, monkeypatch):
     found = load()["k09_skill_proficiency"].run(spark, "")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     assert {(r.cv_id, r.proficiency) for r in found.collect() if r.skill == "Python"} == {(0, "expert"), (1, "expert"), (2, "expert")}
+
+
+def test_training_pairs_of_copies(spark):
+    """Copies, and copies that differ in years alone, give what the pairs give; their pairs are not built."""
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    copied = lambda df, key, by: df.unionByName(df.withColumn(key, F.expr(f"{key} + {by}"))).unionByName(df.withColumn(key, F.expr(f"{key} + {10 * by}")))
+    people = copied(profile_rows(t).withColumn("cv_years", F.lit(3)), "candidate_id", 1000).withColumn("cv_years", F.expr("if(candidate_id > 10000, 0, 3)"))
+    jobs = copied(job_rows(t), "criteria_id", 100)
+    held, need = copied(t.candidate_skills, "candidate_id", 1000), copied(t.criteria_skills, "criteria_id", 100)
+    rows = lambda df: sorted(map(tuple, df.select("pair_id", F.md5("cv_text"), F.md5("job_text"), "label").collect()))
+    found = features.shared_training_pairs(held, need, people, jobs)
+    groups = features.training_pairs(joins.pairs(held, need), people, jobs).groupBy("cv_text", "job_text", "label").agg(F.min("pair_id").alias("pair_id"))
+    assert rows(found) == rows(groups) and len(rows(found)) > 0
