@@ -158,13 +158,13 @@ def _(t):
 _SIMILAR = {"sims": """
     SELECT q.vec_id AS query_id, c.vec_id AS item_id, greatest(0.0, least(1.0, round(list_cosine_similarity(
            CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6))) AS similarity
-    FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id"""}
+    FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id"""}
 
 
 def queries_and_corpus(t):
-    """The stated query set, ids divisible by 50, and all rows; a query's own row is left out by the search."""
+    """The query set, ids divisible by 10, and all rows; a query's own row is left out by the search."""
     v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
-    return v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id")
+    return v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id")
 
 
 @query("j12_top_k_similar", """
@@ -201,7 +201,7 @@ def _(t):
     GROUP BY owner, name""", _SIMILAR)
 def _(t):
     queries, corpus = queries_and_corpus(t)
-    raw = t.embeddings.filter("vec_id % 50 = 0").select(
+    raw = t.embeddings.filter("vec_id % 10 = 0").select(
         F.col("label").alias("owner"), F.col("vec_id").alias("query_id"), F.concat(F.lit("raw "), "vec_id").alias("name"))
     nearest = jn.nearest_join(queries, corpus, 0.30, skip_same=True).withColumn("canonical", F.concat(F.lit("canon "), "item_id"))
     return sk.canonicalise_by_embedding(raw, nearest, "owner")
@@ -347,7 +347,7 @@ def _(t):
 
 # Criteria skills are the vectors of the query set, each label is one criteria; the items are grouped into candidates.
 _SEMANTIC = {**_SIMILAR, "sem_need": """
-    SELECT label AS criteria_id, 's' || vec_id AS skill, vec_id % 13 + 1 AS weight FROM embeddings WHERE vec_id % 50 = 0""",
+    SELECT label AS criteria_id, 's' || vec_id AS skill, vec_id % 50 + 1 AS weight FROM embeddings WHERE vec_id % 10 = 0""",
     "sem_best": """
     SELECT q.label AS criteria_id, i.vec_id % 20 AS candidate_id, 's' || q.vec_id AS skill, max(similarity) AS similarity
     FROM {sims} s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings i ON i.vec_id = s.item_id GROUP BY ALL"""}
@@ -359,9 +359,9 @@ _SEMANTIC = {**_SIMILAR, "sem_need": """
          JOIN (SELECT criteria_id, sum(weight) AS total FROM {{sem_need}} GROUP BY 1) t USING (criteria_id)
     WHERE b.similarity >= 0.25 GROUP BY criteria_id, candidate_id""", _SEMANTIC)
 def _(t):
-    needs = t.embeddings.filter("vec_id % 50 = 0").select(
+    needs = t.embeddings.filter("vec_id % 10 = 0").select(
         F.col("label").alias("criteria_id"), F.concat(F.lit("s"), "vec_id").alias("skill"),
-        F.expr("vec_id % 13 + 1").alias("weight"), F.col("vec_id").alias("query_id"))
+        F.expr("vec_id % 50 + 1").alias("weight"), F.col("vec_id").alias("query_id"))
     queries, corpus = queries_and_corpus(t)
     best = jn.best_per_owner(queries, corpus.withColumn("owner", F.expr("item_id % 20")), "owner", 0.25, skip_same=True)
     nearest = best.join(needs.select("query_id", "criteria_id", "skill"), "query_id").withColumnRenamed("owner", "candidate_id")

@@ -1,5 +1,6 @@
 """Registered queries do the whole job, also where the test tables hold no such case."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talentlake.catalog import load, registry
@@ -34,3 +35,17 @@ def test_training_pairs_of_copies(spark):
     found = features.shared_training_pairs(held, need, people, jobs)
     groups = features.training_pairs(joins.pairs(held, need), people, jobs).groupBy("cv_text", "job_text", "label").agg(F.min("pair_id").alias("pair_id"))
     assert rows(found) == rows(groups) and len(rows(found)) > 0
+
+
+def test_searches_ask_every_query(spark, monkeypatch):
+    """Every id divisible by 10 is a query, and rows divisible by 10 can be found."""
+    turned = lambda i: [float(np.cos(i // 2)), float(np.sin(i // 2))]  # noqa: E731  20 and 21 are one vector, and so on
+    near = [(i, turned(i), i % 3) for i in range(100)] + [(110, turned(30), 1)]
+    vectors = spark.createDataFrame(near, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(registry, "table", lambda *_: vectors)
+    found = lambda name: load()[name].run(spark, "").collect()
+    asked = {*range(0, 100, 10), 110}
+    assert {r.query_id for r in found("j12_top_k_similar")} == asked == {r.query_id for r in found("j13_nearest_join")}
+    assert {(r.query_id, r.item_id) for r in found("j13_nearest_join")} >= {(110, 30), (20, 21)}
+    assert {r.name for r in found("k13_canonicalise_by_embedding")} >= {"canon 21", "canon 30"}
+    assert sum(r.total_matches for r in found("m12_semantic_match")) >= len(asked)
