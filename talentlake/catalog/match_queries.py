@@ -42,6 +42,11 @@ def scored_pairs(t, held=None, people=None, how="inner", need=None):
     return mt.weighted_cosine(held, need, sk.skill_universe(t.skills, sk.dictionary(t.spark)), people, how)
 
 
+def scored_for(t, criteria_id):
+    """``scored_pairs`` of one criteria; no other pair is built."""
+    return scored_pairs(t, need=t.criteria_skills.filter(F.col("criteria_id") == criteria_id))
+
+
 def eligible_skills(t):
     """Skill sets of the candidates that take part in matching; filtering here spares all later work on the others."""
     eligible = ql.matchable(t.candidates)
@@ -113,7 +118,7 @@ def _(t):
     from ..operators.reports import latest_criteria
 
     latest = latest_criteria(t.job_criteria).select("criteria_id").scalar()
-    return jn.with_scores(t.candidates, scored_pairs(t), latest).select("candidate_id", "full_name", "score_pct")
+    return jn.with_scores(t.candidates, scored_for(t, latest), latest).select("candidate_id", "full_name", "score_pct")
 
 
 @query("j08_results_with_names", """

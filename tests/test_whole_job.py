@@ -1,11 +1,12 @@
 """Registered queries do the whole job, also where the test tables hold no such case."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from talentlake.catalog import load, registry
 from talentlake.catalog.text_queries import job_rows, profile_rows
-from talentlake.operators import features, joins
+from talentlake.operators import features, joins, matching
 
 
 def test_proficiency_of_names_with_symbols(spark, monkeypatch):
@@ -49,3 +50,17 @@ def test_searches_ask_every_query(spark, monkeypatch):
     assert {(r.query_id, r.item_id) for r in found("j13_nearest_join")} >= {(110, 30), (20, 21)}
     assert {r.name for r in found("k13_canonicalise_by_embedding")} >= {"canon 21", "canon 30"}
     assert sum(r.total_matches for r in found("m12_semantic_match")) >= len(asked)
+
+
+@pytest.mark.parametrize("name", ["j07_with_scores", "r03_explore_by_skill", "r13_export_rows", "r14_export_order", "r16_page_results"])
+def test_one_criteria_builds_its_own_pairs(spark, monkeypatch, name):
+    """Queries on one criteria build the pairs of that criteria alone."""
+    asked, whole = [], matching.weighted_cosine
+
+    def seen(held, need, *more):
+        asked.append(need.select("criteria_id").distinct().count())
+        return whole(held, need, *more)
+
+    monkeypatch.setattr(matching, "weighted_cosine", seen)
+    load()[name].run(spark, "/root/testdata/sf0.001")
+    assert asked == [1]
