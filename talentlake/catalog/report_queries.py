@@ -10,7 +10,7 @@ from ..operators import matching as mt
 from ..operators import quality as ql
 from ..operators import reports as rp
 from ..operators import skills as sk
-from .match_queries import _BREAK, FALLBACK, PAIR_VIEWS, SCORED, best_matches, named_need, pair_rows, scored_pairs
+from .match_queries import _BREAK, FALLBACK, PAIR_VIEWS, SCORED, best_matches, named_need, pair_rows, scored_for, scored_pairs
 from .oracle_views import sql_list
 from .registry import query, rnd
 from .text_queries import json_items
@@ -169,7 +169,7 @@ def _(t):
     UNION ALL SELECT candidate_id, full_name, NULL, 'stored', 'BUILDING' FROM (SELECT * FROM {candidates} WHERE contains(lower(raw_text), 'building')
         ORDER BY created_at DESC, candidate_id LIMIT 10)""", SCORED)
 def _(t):
-    top = scored_pairs(t).filter("criteria_id = 3").join(t.candidates.select("candidate_id", "full_name"), "candidate_id")
+    top = scored_for(t, 3).join(t.candidates.select("candidate_id", "full_name"), "candidate_id")
     scored = rp.explore_by_skill("Red Rod", top, t.candidates, t.candidate_skills, 5.0).withColumn("wanted", F.lit("Red Rod"))
     stored = rp.explore_by_skill("BUILDING", top, t.candidates, t.candidate_skills).withColumn("wanted", F.lit("BUILDING"))
     return scored.unionByName(stored)
@@ -280,7 +280,7 @@ EXPORT = {**SCORED, "export": f"""
 
 
 def export(t):
-    return rp.export_rows(jn.with_scores(t.candidates, scored_pairs(t), 5), t.candidate_skills)
+    return rp.export_rows(jn.with_scores(t.candidates, scored_for(t, 5), 5), t.candidate_skills)
 
 
 @query("r13_export_rows", "SELECT * FROM {export}", EXPORT)
@@ -302,7 +302,7 @@ def _(t):
 @query("r16_page_results", """
     SELECT criteria_id, candidate_id, score_pct FROM {scored} WHERE criteria_id = 7 ORDER BY score_pct DESC, criteria_id, candidate_id LIMIT 25 OFFSET 25""", SCORED)
 def _(t):
-    rows = scored_pairs(t).select("criteria_id", "candidate_id", "score_pct")
+    rows = scored_for(t, 7).select("criteria_id", "candidate_id", "score_pct")
     return rp.page_results(rows, criteria_id=7, skip=25, limit=25)
 
 
