@@ -228,22 +228,26 @@ def _(t):
     return rp.skills_by_category(t.skills).withColumn("names", F.array_join("names", ", "))
 
 
+def best_scored(t, k):
+    """The k best of ``scored_pairs`` per criteria, without scoring the pairs."""
+    held = sk.candidate_skill_set(t.candidates, t.candidate_skills)
+    universe = sk.skill_universe(t.skills, sk.dictionary(t.spark))
+    return rp.best_by_cosine(held, t.criteria_skills, universe, lambda need: scored_pairs(t, held, need=need), k)
+
+
 @query("r09_compare_candidates", f"""
     SELECT criteria_id, candidate_id, score_pct, rank, first_value(candidate_id) OVER w AS winner_id,
            {rnd('first_value(score_pct) OVER w - nth_value(score_pct, 2) OVER w', 2)} AS gap FROM (
         SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, candidate_id) AS rank FROM {{scored}}) WHERE rank <= 3
     WINDOW w AS (PARTITION BY criteria_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", SCORED)
 def _(t):
-    rows = scored_pairs(t).select("criteria_id", "candidate_id", "score_pct")
-    return rp.compare_candidates(rows).select("criteria_id", "candidate_id", "score_pct", "rank", "winner_id", "gap")
+    return rp.compare_candidates(best_scored(t, 3)).select("criteria_id", "candidate_id", "score_pct", "rank", "winner_id", "gap")
 
 
 @query("r10_best_candidate", """
     SELECT criteria_id, candidate_id, score_pct FROM (SELECT *, row_number() OVER (PARTITION BY criteria_id ORDER BY score_pct DESC, candidate_id) AS rn FROM {scored}) WHERE rn = 1""", SCORED)
 def _(t):
-    held = sk.candidate_skill_set(t.candidates, t.candidate_skills)
-    universe = sk.skill_universe(t.skills, sk.dictionary(t.spark))
-    return rp.best_by_cosine(held, t.criteria_skills, universe, lambda need: scored_pairs(t, held, need=need)).select("criteria_id", "candidate_id", "score_pct")
+    return best_scored(t, 1).select("criteria_id", "candidate_id", "score_pct")
 
 
 @query("r11_priority_board", """

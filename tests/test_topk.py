@@ -110,3 +110,35 @@ def test_winners_without_scoring_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(mt, "scored_classes", lambda *_: pytest.fail("all pairs are scored"))
     best = mt.generate_and_match(jobs, people, skills, 1).collect()
     assert sorted((r.criteria_id, r.candidate_id, r.score_pct, r["rank"]) for r in best) == [(10, 1, 100.0, 1), (11, 3, 100.0, 1)]
+
+
+def test_few_positive_scores_are_filled_with_zero_scores(spark):
+    """Criteria with fewer than k positive scores go on with the pairs that score 0, as the ranking of all pairs does."""
+    from talentlake.operators import matching as mt
+    from talentlake.operators import reports as rp
+
+    held = spark.createDataFrame([(i, s) for i in range(1, 9) for s in (["Go", "Sql"] if i < 7 else ["Sql"])], "candidate_id long, skill string")
+    need = spark.createDataFrame([(1, "Go", 50), (1, "Sql", 0), (2, "Sql", 0), (3, "Java", 9), (4, "Go", 5)], "criteria_id long, skill string, weight int")
+    universe = spark.createDataFrame([("Go",), ("Sql",), ("Java",)], "skill string")
+    asked = []
+
+    def pairs(rest):
+        asked.extend(sorted({r.criteria_id for r in rest.collect()}))
+        return mt.weighted_cosine(held, rest, universe)
+
+    for k in (1, 3, 8):
+        want = rp.compare_candidates(mt.weighted_cosine(held, need, universe).select("criteria_id", "candidate_id", "score_pct"), k)
+        found = rp.compare_candidates(rp.best_by_cosine(held, need, universe, pairs, k), k)
+        assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert asked == [2, 3, 2, 3, 1, 2, 3, 4]
+
+
+def test_compared_candidates_are_found_without_all_pairs(spark, monkeypatch):
+    from talentlake.catalog import load
+    from talentlake.operators import matching as mt
+
+    def no_pairs(*_, **__):
+        raise AssertionError("pairs are scored")
+
+    monkeypatch.setattr(mt, "weighted_cosine", no_pairs)
+    assert load()["r09_compare_candidates"].run(spark, "/root/testdata/sf0.01").count() == 300
