@@ -11,6 +11,11 @@ Criteria with equal skills and weights are answered once. Of candidates with equ
 (newest, id) can be among the k best, so no others reach a block. What a block does thus follows the number of different
 criteria and of different skill sets.
 
+With few different required skills a block keeps a bit per candidate and skill instead of lists, in ranges of equal profile size.
+A criteria then has few possible scores, one for each subset of its skills and each size; they are tried in descending order, and
+who holds exactly that subset at that size comes from a few operations on whole words (``BitBlock``). This serves the counts of
+scores above a limit, too.
+
 Scores are compared as they are shown (percent, two decimals), then newest, then smallest id, and the bound takes these
 ties into account, so the result is exact. Candidates without a shared weight score 0 and are left to the caller.
 """
@@ -18,11 +23,14 @@ ties into account, so the result is exact. Candidates without a shared weight sc
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +40,9 @@ from ..plans.skew import maybe_broadcast
 from ..session import cut_lineage
 
 CANDIDATE_BLOCK, CRITERIA_BLOCK = 1 << 17, 1 << 12
+BIT_CANDIDATES, BIT_CRITERIA = 1 << 19, 1 << 16
+BIT_SKILLS = 4096  # different required skills up to which blocks hold bits
+BIT_SCORES, BIT_SUBSETS = 1 << 14, 1 << 8  # possible scores of a criteria up to which they are tried one by one
 STEP = 32
 NEVER = -(1 << 63)
 
@@ -116,25 +127,223 @@ class Block:
         return True
 
 
-def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int = CANDIDATE_BLOCK, criteria_block: int = CRITERIA_BLOCK, digits: int = 2) -> DataFrame:
+@lru_cache(32)
+def subsets(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subsets of n skills but the empty one, as rows of 0 and 1, and their sizes."""
+    rows = (np.arange(1, 1 << n)[:, None] >> np.arange(n)) & 1
+    return rows, rows.sum(1)
+
+
+class BitBlock:
+    """Candidates of one block as bits per skill, in the order (profile size, newest, id); each size starts a new word.
+
+    ``codes`` holds the skills of all candidates as numbers, ``lengths`` of them for each."""
+
+    def __init__(self, ids: np.ndarray, born: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
+        order = np.lexsort((ids, -born, sizes))
+        self.sizes, first, counts = np.unique(sizes[order], return_index=True, return_counts=True)
+        words = -(-counts // 64)
+        self.edges = np.concatenate([[0], np.cumsum(words)])
+        bit = np.empty(len(ids), np.int64)  # of each candidate
+        bit[order] = np.arange(len(ids)) - np.repeat(first, counts) + np.repeat(self.edges[:-1] * 64, counts)
+        self.ids, self.born = np.zeros(self.edges[-1] * 64, ids.dtype), np.zeros(self.edges[-1] * 64, np.int64)
+        self.ids[bit], self.born[bit] = ids, born
+        by_code = np.argsort(codes, kind="stable")
+        held = np.repeat(bit, lengths)[by_code]
+        names, at = np.unique(codes[by_code], return_index=True)
+        self.bits = {}
+        for name, a, b in zip(names.tolist(), at, np.append(at[1:], len(codes))):
+            mark = np.zeros(self.edges[-1] * 64, bool)
+            mark[held[a:b]] = True
+            self.bits[name] = np.packbits(mark, bitorder="little").view(np.uint64)
+
+    def asked(self, codes: list[int], weights: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Bits and weights of the skills that someone holds; a skill named twice counts with both weights."""
+        total: dict[int, int] = {}
+        for code, weight in zip(codes, weights):
+            if weight > 0 and code in self.bits:
+                total[code] = total.get(code, 0) + int(weight)
+        return [self.bits[c] for c in total], np.array(list(total.values()), np.int64)
+
+    def too_many(self, n: int) -> bool:
+        return 1 << n > BIT_SUBSETS or len(self.sizes) << n > BIT_SCORES
+
+    def scores(self, weights: np.ndarray, square: int) -> tuple[np.ndarray, np.ndarray]:
+        """Dots of the subsets of the weights and their unrounded percents at each size; -1 where a size is too small."""
+        rows, n = subsets(len(weights))
+        dots = rows @ weights
+        rough = dots[:, None] / (np.sqrt(self.sizes)[None, :] * math.sqrt(square)) * 100
+        return dots, np.where(n[:, None] <= self.sizes[None, :], rough, -1.0)
+
+    def best(self, codes: list[int], weights: list[int], square: int, k: int, digits: int = 2) -> list[tuple[float, int, int]]:
+        """The k best as (percent, born, id)."""
+        bits, weights = self.asked(codes, weights)
+        if not bits:
+            return []
+        if self.too_many(len(bits)):
+            return self.best_of_all(bits, weights, square, k, digits)
+        dots, rough = self.scores(weights, square)
+        kinds, top = len(self.sizes), []
+        flat = rough.ravel()
+        for at in np.argsort(-flat, kind="stable").tolist():
+            if flat[at] < 0 or (len(top) == k and flat[at] < top[-1][0] - 0.01):
+                break
+            subset, kind = at // kinds + 1, at % kinds
+            a, b = self.edges[kind], self.edges[kind + 1]
+            own = None
+            for j, held in enumerate(bits):
+                if subset >> j & 1:
+                    own = held[a:b] if own is None else own & held[a:b]
+            if not own.any():
+                continue
+            for j, held in enumerate(bits):
+                if not subset >> j & 1:
+                    own = own & ~held[a:b]
+            found = np.flatnonzero(own)[:k]  # words; the first k hold the first k bits
+            if not len(found):
+                continue
+            where, bit = np.nonzero(np.unpackbits(own[found].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            place = ((a + found)[where] * 64 + bit)[:k]
+            value = percent(int(dots[subset - 1]), int(self.sizes[kind]), square, digits)
+            top += [(value, born, -who) for born, who in zip(self.born[place].tolist(), self.ids[place].tolist())]
+            top = sorted(top, reverse=True)[:k]
+        return [(value, born, -who) for value, born, who in top]
+
+    def dots_of_all(self, bits: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a dot above 0, and their dots."""
+        dots = np.zeros(self.edges[-1] * 64, np.int64)
+        for held, weight in zip(bits, weights):
+            dots += weight * np.unpackbits(held.view(np.uint8), bitorder="little")
+        place = np.flatnonzero(dots)
+        return place, dots[place]
+
+    def best_of_all(self, bits: list[np.ndarray], weights: np.ndarray, square: int, k: int, digits: int) -> list[tuple[float, int, int]]:
+        """``best`` for criteria with too many possible scores: all dots, and the scores of what may enter the top."""
+        place, dots = self.dots_of_all(bits, weights)
+        size = np.repeat(self.sizes, np.diff(self.edges))[place >> 6]
+        rough = dots / (np.sqrt(size) * math.sqrt(square)) * 100
+        may = np.flatnonzero(rough >= -np.partition(-rough, k - 1)[k - 1] - 0.01) if len(rough) > k else np.arange(len(rough))
+        own = zip(place[may].tolist(), dots[may].tolist(), size[may].tolist())
+        top = sorted(((percent(d, z, square, digits), int(self.born[p]), -int(self.ids[p])) for p, d, z in own), reverse=True)[:k]
+        return [(value, born, -who) for value, born, who in top]
+
+    def counts(self, codes: list[int], weights: list[int], square: int, limits: list[float], digits: int = 2) -> list[int]:
+        """How many candidates reach each limit (shares of 1, all above 0), as shown."""
+        bits, weights = self.asked(codes, weights)
+        if not bits:
+            return [0] * len(limits)
+        if self.too_many(len(bits)):
+            place, dots = self.dots_of_all(bits, weights)
+            size = np.repeat(self.sizes, np.diff(self.edges))[place >> 6]
+            kinds, many = np.unique(np.stack([dots, size], 1), axis=0, return_counts=True)
+            dots, size = kinds.T
+            rough = dots / (np.sqrt(size) * math.sqrt(square)) * 100
+        else:
+            each, rough = self.scores(weights, square)
+            reach = np.flatnonzero(rough.max(0) >= min(limits) * 100 - 0.01)  # sizes
+            if not len(reach):
+                return [0] * len(limits)
+            kinds = int(reach[-1]) + 1
+            end, starts = self.edges[kinds], self.edges[:kinds]
+            shared: list[np.ndarray | None] = [None] * (1 << len(bits))
+            many = np.zeros((1 << len(bits), kinds), np.int64)  # who holds at least the subset
+            for subset in range(1, 1 << len(bits)):
+                low = (subset & -subset).bit_length() - 1
+                rest = shared[subset & (subset - 1)]
+                shared[subset] = bits[low][:end] if rest is None else rest & bits[low][:end]
+                many[subset] = np.add.reduceat(np.bitwise_count(shared[subset]), starts, dtype=np.int64)
+            for j in range(len(bits)):  # then who holds exactly the subset
+                without = np.flatnonzero(~(np.arange(1 << len(bits)) >> j) & 1)
+                many[without] -= many[without | 1 << j]
+            subset, kind = np.nonzero(many[1:])
+            many, dots, size, rough = many[1:][subset, kind], each[subset], self.sizes[kind], rough[subset, kind]
+        out = []
+        for limit in limits:
+            sure = rough >= limit * 100 + 0.01
+            open_ = np.flatnonzero(~sure & (rough >= limit * 100 - 0.01))
+            out.append(int(many[sure].sum()) + sum(int(many[i]) for i in open_ if percent(int(dots[i]), int(size[i]), square, digits) / 100 >= limit))
+        return out
+
+
+def coded(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``skills`` as the numbers of their names; skills of other names are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+    fields = ", ".join(f"`{n}` {'array<int>' if n == 'skills' else t}" for n, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            at = batch.schema.get_field_index("skills")
+            held = batch.column(at)
+            codes = pa.compute.index_in(held.flatten().cast(pa.string()), known)
+            ends = np.concatenate([[0], np.cumsum(pa.compute.is_valid(codes).to_numpy(zero_copy_only=False))])
+            offsets = held.offsets.to_numpy() - held.offsets[0].as_py()
+            lists = pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), codes.drop_null().cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def required_names(need: DataFrame) -> list[str] | None:
+    """The different skills of the criteria, None when there are more than BIT_SKILLS or nameless ones."""
+    found = [r["skill"] for r in need.select(F.explode("skills").alias("skill")).distinct().limit(BIT_SKILLS + 1).collect()]
+    return None if len(found) > BIT_SKILLS or None in found else sorted(found)
+
+
+def met_blocks(people: DataFrame, jobs: DataFrame, candidate_block: int, criteria_block: int):
+    """Blocks of candidates and of criteria, every one of each side with every one of the other, as a co-grouped pair."""
+    parallel = people.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-people.count() // candidate_block))
+    parts = max(1, -(-jobs.count() // criteria_block), -(-2 * parallel // blocks))
+    left = people.withColumns({
+        "_c": F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)), "_j": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))})
+    right = jobs.withColumns({
+        "_j": F.pmod(F.xxhash64("criteria_id"), F.lit(parts)), "_c": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
+    return left.groupBy("_c", "_j").cogroup(right.groupBy("_c", "_j"))
+
+
+def bit_block(people: pa.Table) -> BitBlock:
+    skills = people.column("skills").combine_chunks()
+    number = lambda c: people.column(c).to_numpy()
+    return BitBlock(number("candidate_id"), number("born"), number("size").astype(np.int64), pa.compute.list_value_length(skills).to_numpy(zero_copy_only=False), skills.flatten().to_numpy())
+
+
+def jobs_of(jobs: pa.Table) -> Iterator[tuple]:
+    return zip(*(jobs.column(c).to_pylist() for c in ("criteria_id", "skills", "weights", "square")))
+
+
+def counts_above(held: DataFrame, need: DataFrame, limits: list[float], digits: int = 2) -> DataFrame | None:
+    """(criteria_id, reached): for each limit (a share of 1, above 0) how many candidates have a score of at least that, with
+    the sides of ``top_scored``; criteria that nobody overlaps may be missing. None when there are too many different skills."""
+    need = cut_lineage(need.filter("square > 0").select("criteria_id", "skills", "weights", "square"))
+    names = required_names(need)
+    if names is None:
+        return None
+    people = cut_lineage(coded(held.filter("size > 0").select("candidate_id", F.lit(0).cast("long").alias("born"), "size", "skills"), names))
+    asked, alike = (cut_lineage(x) for x in first_of_equal(need, ["skills", "weights", "square"], "criteria_id"))
+    kind = dict(need.dtypes)["criteria_id"]
+
+    def run(people: pa.Table, jobs: pa.Table) -> pa.Table:
+        block = bit_block(people) if people.num_rows and jobs.num_rows else None
+        found = [(who, block.counts(skills, weights, square, limits, digits)) for who, skills, weights, square in jobs_of(jobs)] if block else []
+        return pa.table({"criteria_id": pa.array([f[0] for f in found], jobs.schema.field("criteria_id").type), "reached": pa.array([f[1] for f in found], pa.list_(pa.int64()))})
+
+    found = met_blocks(people, coded(asked, names), BIT_CANDIDATES, BIT_CRITERIA).applyInArrow(run, f"criteria_id {kind}, reached array<long>")
+    total = found.groupBy("criteria_id").agg(F.array(*[F.sum(F.get("reached", F.lit(i))) for i in range(len(limits))]).alias("reached"))
+    return alike.join(total.withColumnRenamed("criteria_id", "_asked"), "_asked").select("criteria_id", "reached")
+
+
+def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int | None = None, criteria_block: int | None = None, digits: int = 2, bits: bool = True) -> DataFrame:
     """(criteria_id, candidate_id, score_pct, created_at) of the k best per criteria with a score above 0.
 
     ``held``: candidate_id (integer), created_at, size, skills (array). ``need``: criteria_id, skills, weights (arrays of the
-    skills that count), square.
+    skills that count), square. ``bits`` lets few different skills be held as bits.
     """
-    spark = held.sparkSession
-    parallel = spark.sparkContext.defaultParallelism
     born = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(NEVER + 1)).alias("born")
     people = held.filter("size > 0").select("candidate_id", born, "size", F.array_sort("skills").alias("skills"))
     first = cut_lineage(top_per_group(people, ["skills", "size"], [F.desc("born"), F.asc("candidate_id")], k).drop("rank"))
     asked, alike = (cut_lineage(x) for x in first_of_equal(
         need.filter("square > 0").select("criteria_id", "skills", "weights", "square"), ["skills", "weights", "square"], "criteria_id"))
-    blocks = max(1, -(-first.count() // candidate_block))
-    parts = max(1, -(-asked.count() // criteria_block), -(-2 * parallel // blocks))
-    left = first.withColumns({
-        "_c": F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)), "_j": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))})
-    right = asked.withColumns({
-        "_j": F.pmod(F.xxhash64("criteria_id"), F.lit(parts)), "_c": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
     kinds = {n: t for n, t in [*held.dtypes, *need.dtypes]}
     schema = f"criteria_id {kinds['criteria_id']}, candidate_id {kinds['candidate_id']}, score_pct double, born long"
 
@@ -147,7 +356,17 @@ def top_scored(held: DataFrame, need: DataFrame, k: int, candidate_block: int =
                 rows += [(job.criteria_id, -key, score, born) for score, born, key, _ in found if score > 0]
         return pd.DataFrame(rows, columns=["criteria_id", "candidate_id", "score_pct", "born"])
 
-    partial = left.groupBy("_c", "_j").cogroup(right.groupBy("_c", "_j")).applyInPandas(run, schema)
+    def run_bits(people: pa.Table, jobs: pa.Table) -> pa.Table:
+        block = bit_block(people) if people.num_rows and jobs.num_rows else None
+        rows = [(who, key, score, born) for who, skills, weights, square in jobs_of(jobs) for score, born, key in block.best(skills, weights, square, k, digits) if score > 0] if block else []
+        types = [jobs.schema.field("criteria_id").type, people.schema.field("candidate_id").type, pa.float64(), pa.int64()]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["criteria_id", "candidate_id", "score_pct", "born"])
+
+    names = required_names(asked) if bits else None
+    if names is None:
+        partial = met_blocks(first, asked, candidate_block or CANDIDATE_BLOCK, criteria_block or CRITERIA_BLOCK).applyInPandas(run, schema)
+    else:
+        partial = met_blocks(cut_lineage(coded(first, names)), coded(asked, names), candidate_block or BIT_CANDIDATES, criteria_block or BIT_CRITERIA).applyInArrow(run_bits, schema)
     top = top_per_group(partial, ["criteria_id"], [F.desc("score_pct"), F.desc("born"), F.asc("candidate_id")], k)
     return alike.join(top.withColumnRenamed("criteria_id", "_asked"), "_asked").select("criteria_id", "candidate_id", "score_pct")
 

@@ -36,7 +36,7 @@ def test_bounds_give_the_exact_top(seed):
     assert scored < 0.5 * len(need) * len(people)
 
 
-@pytest.mark.parametrize("blocks", [{}, {"candidate_block": 40, "criteria_block": 7}])
+@pytest.mark.parametrize("blocks", [{}, {"candidate_block": 40, "criteria_block": 7}, {"bits": False}, {"candidate_block": 40, "criteria_block": 7, "bits": False}])
 def test_top_scored_equals_all_pairs(spark, blocks):
     names, people, need = sides(9, 150, 25, 20)
     held = spark.createDataFrame([(k, s) for k, _, skills in people for s in skills], "candidate_id long, skill string")
@@ -142,3 +142,53 @@ def test_compared_candidates_are_found_without_all_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(mt, "weighted_cosine", no_pairs)
     assert load()["r09_compare_candidates"].run(spark, "/root/testdata/sf0.01").count() == 300
+
+
+@pytest.mark.parametrize("few", [False, True])
+@pytest.mark.parametrize("seed", range(4))
+def test_bit_blocks_equal_all_pairs(monkeypatch, seed, few):
+    """Top and counts of a block of bits, also where the possible scores are too many to be tried one by one."""
+    names, people, need = sides(seed, 3000, 60, 15 if seed % 2 else 60)
+    if few:
+        monkeypatch.setattr(topk, "BIT_SCORES", 60)
+    code = {s: i for i, s in enumerate(names)}
+    people = [p for p in people if p[2]]
+    ids = np.array([k for k, *_ in people])
+    born = np.array([int(b.timestamp()) for _, b, _ in people])
+    block = topk.BitBlock(ids, born, np.array([len(s) for *_, s in people]), np.array([len(s) for *_, s in people]), np.array([code[x] for *_, s in people for x in s]))
+    for _, weights in need:
+        square = sum(w * w for w in weights.values())
+        if not square:
+            continue
+        asked = [code[s] for s in weights], list(weights.values()), square
+        every = [(topk.percent(sum(weights.get(s, 0) for s in skills), len(skills), square), int(b), -k) for b, (k, _, skills) in zip(born, people)]
+        want = [x for x in sorted(every, reverse=True)[:10] if x[0] > 0]
+        assert [(v, b, -k) for v, b, k in block.best(*asked, 10) if v > 0] == want
+        limits = [0.8, 0.6, want[-1][0] / 100] if want else [0.8, 0.6]
+        assert block.counts(*asked, limits) == [sum(v / 100 >= x for v, *_ in every) for x in limits]
+
+
+@pytest.mark.parametrize("block", [None, 30])
+def test_shortlist_counts_without_pairs(spark, monkeypatch, block):
+    from talentlake.operators import reports as rp
+
+    names, people, need = sides(5, 150, 25, 8)
+    held = spark.createDataFrame([(k, s) for k, _, skills in people for s in skills], "candidate_id long, skill string")
+    wanted = spark.createDataFrame([(j, s, w) for j, weights in need for s, w in weights.items()] + [(3, names[0], 9)], "criteria_id long, skill string, weight int")
+    universe = spark.createDataFrame([(s.upper(),) for s in names[:6]], "skill string")
+    jobs, screened = spark.range(27).withColumnRenamed("id", "criteria_id"), spark.range(150)
+    if block:
+        monkeypatch.setattr(topk, "BIT_CANDIDATES", block)
+        monkeypatch.setattr(topk, "BIT_CRITERIA", 4)
+
+    def no_pairs():
+        raise AssertionError("pairs are scored")
+
+    scored = mt.weighted_cosine(held, wanted, universe).withColumn("score_01", mt.F.col("score_pct") / 100)
+    want = rp.shortlist_summary(scored, jobs, screened)
+    found = rp.shortlist_by_cosine(held, jobs, wanted, universe, screened, no_pairs)
+    assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert want.agg(mt.F.sum("strong"), mt.F.sum("moderate")).first()[0] > 0
+    monkeypatch.setattr(topk, "BIT_SKILLS", 2)
+    many = rp.shortlist_by_cosine(held, jobs, wanted, universe, screened, lambda: scored)
+    assert sorted(map(tuple, many.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
