@@ -149,8 +149,9 @@ def _(t):
     FROM (SELECT j.criteria_id, (SELECT count(*) FROM {candidates}) AS total_screened, count(*) FILTER (s.score_pct / 100 >= 0.8) AS strong,
           count(*) FILTER (s.score_pct / 100 >= 0.6 AND s.score_pct / 100 < 0.8) AS moderate FROM {job_criteria} j LEFT JOIN {scored} s USING (criteria_id) GROUP BY 1)""", SCORED)
 def _(t):
-    rows = scored_pairs(t).withColumn("score_01", F.col("score_pct") / 100)
-    return rp.shortlist_summary(rows, t.job_criteria, t.candidates).select(
+    held = sk.candidate_skill_set(t.candidates, t.candidate_skills)
+    universe = sk.skill_universe(t.skills, sk.dictionary(t.spark))
+    return rp.shortlist_by_cosine(held, t.job_criteria, t.criteria_skills, universe, t.candidates, lambda: scored_pairs(t, held)).select(
         "criteria_id", "total_screened", "strong", "moderate", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
