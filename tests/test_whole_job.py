@@ -64,3 +64,32 @@ def test_one_criteria_builds_its_own_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "weighted_cosine", seen)
     load()[name].run(spark, "/root/testdata/sf0.001")
     assert asked == [1]
+
+
+def plan_of(spark, name):
+    return load()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_component_pairs_are_not_joined_again(spark):
+    """What the score needs of a candidate is there before the pairs, so no pair is shuffled for it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan_of(spark, "m14_component_score")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["d03_business_rules", "d04_decision_text", "d05_explain"])
+def test_rules_prepare_each_side_once(spark, name):
+    """Lower-case skill sets belong to one side; a pair makes none of its own."""
+    assert "lower(" not in plan_of(spark, name)
+
+
+def test_shared_weights_count_repeated_rows(spark):
+    held = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "d")], "candidate_id long, skill string")
+    need = spark.createDataFrame([(7, "a", 5), (7, "a", 2), (7, "b", None), (8, "c", 4), (9, "z", 1)], "criteria_id long, skill string, weight int")
+    want = held.join(need, "skill").groupBy("candidate_id", "criteria_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w"))
+    found = joins.shared_weights(held, need)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "once" in found._jdf.queryExecution().optimizedPlan().toString()  # plain holders are counted without a second pass
